@@ -137,3 +137,25 @@ WITH r(rule_host, rule_path, verdict) AS (
 )
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
 """
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeline.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op1_decontaminate"] = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), w AS (
+  SELECT side, id, list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^\pL\pN\x20\x09-\x0D]+', '', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t
+), s AS (
+  SELECT DISTINCT side, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
+  FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), n AS (SELECT id, count(*) AS n FROM s WHERE side = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS n_shingles
+FROM s d JOIN s i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n)
+"""
