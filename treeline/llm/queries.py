@@ -159,3 +159,10 @@ SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n.n) AS
 FROM s d JOIN s i ON d.s = i.s AND d.side = 'd' AND i.side = 'i' JOIN n ON n.id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n)
 """
+
+
+@query("op8_near_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeline.llm.near_dedup import near_duplicate_classes
+
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
