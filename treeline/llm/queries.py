@@ -166,3 +166,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from treeline.llm.near_dedup import near_duplicate_classes
 
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lbl_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from treeline.llm.lbl import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))

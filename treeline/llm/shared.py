@@ -103,3 +103,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def vector_rows(vector: np.ndarray, segments: int = 64) -> pa.RecordBatch:
+    """A vector of doubles cut into rows ``(segment, v)`` for :func:`added_vectors`."""
+    parts = np.array_split(vector.astype("<f8"), segments)
+    return pa.RecordBatch.from_arrays([pa.array(range(segments), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["segment", "v"])
+
+
+def added_vectors(rows: DataFrame) -> np.ndarray | None:
+    """The sum of all vectors that were cut by :func:`vector_rows`; None if there were none.
+
+    Segments are added on the executors, so the driver gets one vector however many tasks there were.
+    """
+    from collections.abc import Iterator
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in batches:
+            for raw in batch.column("v").to_pylist():
+                total = total + np.frombuffer(raw, "<f8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.astype("<f8").tobytes()])], names=["segment", "v"])
+
+    add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    parts = rows.groupBy("segment").applyInArrow(add, "segment long, v binary").collect()
+    return np.concatenate([np.frombuffer(p.v, "<f8") for p in sorted(parts, key=lambda p: p.segment)]) if parts else None
