@@ -1,15 +1,58 @@
-"""A corpus-cleaning pipeline of five stages; each works on all that the stage before it kept."""
+"""A corpus-cleaning pipeline of five stages; each works on all that the stage before it kept.
+
+Quality rules drop documents, line dedup shortens texts, near-dedup keeps the document with the
+least id of each class, decontamination drops documents that hold a benchmark item, and the last
+stage encodes and decodes the rest.  ``n_chars`` follows the text.  No SQL gives run()'s rows
+(hashed log ratios, sampled signatures and BPE are beyond it); ``tests/llm`` hold them against brute force.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeline.llm.bpe_trie import encode_decode
+from treeline.llm.decontaminate import without_contaminated
+from treeline.llm.line_dedup import dedup_lines
+from treeline.llm.near_dedup import one_of_each_class
+from treeline.llm.quality import judge_quality
+from treeline.llm.queries import vocabulary_path
+from treeline.llm.shared import staged
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without their repeated lines."""
+    kept = dedup_lines(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each near-duplicate class."""
+    return one_of_each_class(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each document left."""
+    return encode_decode(docs, vocabulary_path(), digests_only=True)
+
 
-STAGES = []
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("decontamination", decontamination), ("bpe", bpe)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
