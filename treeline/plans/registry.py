@@ -22,3 +22,11 @@ def query(name: str, sql: str | None = None):
         return run
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register plans."""
+    from treeline.plans import snapshots  # noqa: F401
+
+
+load()
