@@ -9,7 +9,7 @@ KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 
 
 def _one_decimal(size: Column, unit: int) -> Column:
-    return F.format_string("%.1f", size / F.lit(float(unit)))
+    return F.format_string("%.1f", F.bround(size / F.lit(float(unit)), 1))  # ties to even
 
 
 def format_size(size: Column, compact: bool = False) -> Column:
@@ -32,7 +32,7 @@ def format_count(n: Column) -> Column:
 def format_duration(seconds: Column) -> Column:
     """``1.250s``, ``12ms`` or ``7us``."""
     return (
-        F.when(seconds >= 1, F.concat(F.format_string("%.3f", seconds), F.lit("s")))
+        F.when(seconds >= 1, F.concat(F.format_string("%.3f", F.bround(seconds, 3)), F.lit("s")))
         .when(seconds >= 0.001, F.concat(F.floor(seconds * 1000 + 0.5).cast("string"), F.lit("ms")))
         .otherwise(F.concat(F.floor(seconds * 1000000 + 0.5).cast("string"), F.lit("us")))
     )
