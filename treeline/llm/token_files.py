@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeline.llm.shared import ragged, shared_dir, slices, staged
+from treeline.llm.shared import shared_dir, slices, staged
 from treeline.llm.vocab import Vocabulary
 from treeline.llm.wordtable import library_table
 
@@ -68,19 +68,52 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def id_frequencies(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """``(id, n)`` of all ids of all texts; a task sends one count for each id it met."""
-    size = Vocabulary(path).size
+def encoded(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(id, n, raw)``: each document's ids as zstd-compressed unsigned integers of the least width."""
+    wide = _width(Vocabulary(path).size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, squeeze = _encoder(path), pa.Codec("zstd", 3).compress
+        for batch in batches:
+            for part, text in slices(batch, "text"):
+                ids, rows = encode(text)
+                raw, cuts = memoryview(ids.astype(wide).tobytes()), (rows * np.dtype(wide).itemsize).tolist()
+                packed = [squeeze(raw[a:b], asbytes=True) for a, b in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(rows)), pa.array(packed, pa.binary())], names=["id", "n", "raw"])
+
+    plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    return plain.mapInArrow(run, "id long, n long, raw binary")
+
+
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _unpacked(batch: pa.RecordBatch, wide: str) -> Iterator[np.ndarray]:
+    codec, size = pa.Codec("zstd"), np.dtype(wide).itemsize
+    for n, raw in zip(batch.column("n").to_pylist(), batch.column("raw"), strict=True):
+        yield np.frombuffer(codec.decompress(raw.as_buffer(), n * size, asbytes=True) if n else b"", wide)
+
+
+def id_frequencies(codes: DataFrame, size: int) -> DataFrame:
+    """``(id, n)`` of all ids of :func:`encoded` documents; a task sends one count for each id it met."""
+    wide = _width(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, counts = _encoder(path), np.zeros(size, np.int64)
+        counts, held, n = np.zeros(size, np.int64), [], 0
         for batch in batches:
-            for _, text in slices(batch, text_column):
-                counts += np.bincount(encode(text)[0], minlength=size)
+            for ids in _unpacked(batch, wide):
+                held.append(ids)
+                n += len(ids)
+                if n > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=size)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=size)
         met = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(counts[met])], names=["id", "n"])
 
-    return docs.select(text_column).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return codes.select("n", "raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _encoder(path: str):
@@ -107,9 +140,12 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, shar
     ranks (bounded by the vocabulary) is made on the driver.
     """
     spark = docs.sparkSession
-    counts = dict(id_frequencies(docs, path, text_column).collect())  # one row for each id of the vocabulary at most
+    size = Vocabulary(path).size
+    wide = _width(size)
+    codes = staged(encoded(docs, path, id_column, text_column), "encoded")  # texts are encoded once
+    counts = dict(id_frequencies(codes, size).collect())  # one row for each id of the vocabulary at most
     top = max([end_id, *counts]) + 1
-    n_docs = docs.count()
+    n_docs = codes.count()
     counts[end_id] = counts.get(end_id, 0) + n_docs
     by_rank = np.array(sorted(range(top), key=lambda i: (-counts.get(i, 0), i)), np.uint32)
     rank_of = np.empty(top, np.uint32)
@@ -124,34 +160,46 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int, shar
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, rank = _encoder(path), held.value
+        rank = held.value
         files, base = fs.FileSystem.from_uri(folder)
         name, hidden = f"{base}/shard-{shard:06d}.ids", f"{base}/.{uuid.uuid4().hex}"
         docs_in = tokens_in = 0
         with files.open_output_stream(hidden) as out:
             out.write(MAGIC)
-            for batch in batches:
-                for part, text in slices(batch.rename_columns(["id", "text"]), "text", 1 << 20):
-                    ids, rows = encode(text)
-                    ends = rows[1:] + np.arange(1, len(rows))
-                    values = np.full(len(ids) + len(ends), rank[end_id], np.uint32)
-                    keep = np.ones(len(values), bool)
-                    keep[ends - 1] = False
-                    values[keep] = rank[ids]
-                    sizes = np.diff(np.concatenate([[0], ends]))
-                    out.write(_block(part.column("id"), sizes, values))
-                    docs_in, tokens_in = docs_in + len(sizes), tokens_in + len(values)
+            for ids, values in _grouped(batches, wide):
+                sizes = np.array([len(v) + 1 for v in values], np.int64)
+                ranked = np.full(int(sizes.sum()), rank[end_id], np.uint32)
+                keep = np.ones(len(ranked), bool)
+                keep[np.cumsum(sizes) - 1] = False
+                ranked[keep] = rank[np.concatenate(values)]
+                out.write(_block(pa.array(ids, pa.int64()), sizes, ranked))
+                docs_in, tokens_in = docs_in + len(sizes), tokens_in + len(ranked)
             out.write(END)
         files.move(hidden, name)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (shard, name.rsplit("/", 1)[1], docs_in, tokens_in)], names=["shard", "file", "n_docs", "n_tokens"])
 
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).repartitionByRange(shards, "id").sortWithinPartitions("id", F.length("text"))
+    ordered = codes.repartitionByRange(shards, "id").sortWithinPartitions("id", "n")
     manifest = staged(ordered.mapInArrow(run, "shard long, file string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def _grouped(batches: Iterator[pa.RecordBatch], wide: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(ids, their token ids) of about ``BLOCK_TOKENS`` tokens at a time."""
+    ids, values, n = [], [], 0
+    for batch in batches:
+        for i, v in zip(batch.column("id").to_pylist(), _unpacked(batch, wide), strict=True):
+            ids.append(i)
+            values.append(v)
+            n += len(v) + 1
+            if n >= BLOCK_TOKENS:
+                yield ids, values
+                ids, values, n = [], [], 0
+    if ids:
+        yield ids, values
+
+
 def _block(ids: pa.Array, sizes: np.ndarray, values: np.ndarray) -> bytes:
     control, data = pack(values)
     has = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
