@@ -26,7 +26,8 @@ def _relative(root: str):
 def working_tree(spark: SparkSession, root: str, with_content: bool = False, scopes: list[str] | None = None, pattern: str | None = None) -> DataFrame:
     """``path, size, mtime_secs, mtime_nanos, hash`` (and ``content``) of all files below a folder.
 
-    Without ``with_content`` bodies are hashed and dropped in the scan.
+    Without ``with_content`` bodies are hashed and dropped in the scan.  Spark's readers leave
+    out empty files; :func:`empty_files` has those.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader if pattern is None else reader.option("pathGlobFilter", pattern)
@@ -36,6 +37,46 @@ def working_tree(spark: SparkSession, root: str, with_content: bool = False, sco
     return files if not scopes else files.where(in_scope(F.col("path"), scopes))
 
 
+def _walk(spark: SparkSession, root: str, wanted) -> list:
+    """File statuses below a folder that ``wanted`` takes; walked on the driver, as Spark's own listing is."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    found, walk = [], top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(top, True)
+    while walk.hasNext():
+        status = walk.next()
+        if wanted(status):
+            found.append(status)
+    return found
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, size, mtime_secs, mtime_nanos, hash`` of files without content, which Spark's readers leave out."""
+    found = []
+    for status in _walk(spark, root, lambda s: s.getLen() == 0):
+        secs, millis = divmod(status.getModificationTime(), 1000)
+        found.append((status.getPath().toString(), 0, secs, millis * 1_000_000))
+    rows = spark.createDataFrame(found, "_file string, size long, mtime_secs long, mtime_nanos int")
+    return rows.select(_relative(root).alias("path"), "size", "mtime_secs", "mtime_nanos", blob_hash(F.lit(b"")).alias("hash"))
+
+
+def _hidden_files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """``_file, content`` of files of this (dotted) name, which Spark's readers leave out; read on the executors."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        for rows in batches:
+            bodies = []
+            for uri in rows["_file"]:
+                store, path = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                with store.open_input_stream(path) as stream:
+                    bodies.append(stream.read())
+            yield rows.assign(content=bodies)
+
+    found = [(s.getPath().toString(),) for s in _walk(spark, root, lambda s: s.getPath().getName() == name)]
+    return spark.createDataFrame(found, "_file string").mapInPandas(run, "_file string, content binary")
+
+
 def object_listing(spark: SparkSession, root: str) -> DataFrame:
     """``path, size``: metadata only; bodies are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -77,7 +118,8 @@ def log_files(spark: SparkSession, root: str) -> DataFrame:
 def stubs(spark: SparkSession, root: str, app: str = "snap") -> DataFrame:
     """Stub records below a folder by the path they stand for; none below a directory stub."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{app}-stub").load(root)
-    read = files.select(F.col("path").alias("_file"), F.from_json(F.decode("content", "UTF-8"), STUB_SCHEMA).alias("s"))
+    files = files.select(F.col("path").alias("_file"), "content").unionByName(_hidden_files(spark, root, f".{app}-stub"))
+    read = files.select("_file", F.from_json(F.decode("content", "UTF-8"), STUB_SCHEMA).alias("s"))
     named = read.select(_relative(root).alias("file"), "s.*").withColumn("path", stub_logical(F.col("file"), app))
     named = named.withColumn("target_type", F.coalesce("target_type", F.lit("blob"))).withColumn("blob_count", F.coalesce("blob_count", F.lit(0)))
     folders = named.where(F.col("file").endswith(f"/.{app}-stub")).select(F.col("path").alias("above")).distinct()
