@@ -40,8 +40,8 @@ def format_duration(seconds: Column) -> Column:
 
 def parse_size(text: Column) -> Column:
     """Bytes of ``1024``, ``100K``, ``1m`` or ``2G``; null for anything else or beyond 2**63 - 1."""
-    digits = F.regexp_extract(text, "^([0-9]+)[KkMmGg]?$", 1)
-    unit = F.upper(F.regexp_extract(text, "^[0-9]+([KkMmGg])$", 1))
+    digits = F.regexp_extract(text, r"^([0-9]+)[KkMmGg]?\z", 1)
+    unit = F.upper(F.regexp_extract(text, r"^[0-9]+([KkMmGg])\z", 1))
     factor = F.when(unit == "K", KIB).when(unit == "M", MIB).when(unit == "G", GIB).otherwise(1).cast("decimal(19,0)")
     value = F.when((digits != "") & (F.length(F.regexp_replace(digits, "^0+", "")) <= 19), digits.cast("decimal(19,0)")) * factor
     return F.when(value <= F.lit(str(2**63 - 1)).cast("decimal(19,0)"), value.cast("bigint"))

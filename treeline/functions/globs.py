@@ -22,7 +22,7 @@ class Pattern:
     @property
     def regex(self) -> str:
         body = "[^/]*".join(re.escape(part) for part in self.glob.split("*"))
-        return f"^{body}$" if self.anchored else f"^(?:.*/)?{body}$"
+        return rf"(?s)^{body}\z" if self.anchored else rf"(?s)^(?:.*/)?{body}\z"
 
 
 def parse_pattern(line: str) -> Pattern | None:

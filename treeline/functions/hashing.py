@@ -35,7 +35,7 @@ def empty_tree_hash() -> Column:
 def parse_hash(text: Column) -> Column:
     """Lower-case hex of exactly 64 digits of any case, else null."""
     low = F.lower(text)
-    return F.when(low.rlike("^[0-9a-f]{64}$"), low)
+    return F.when(low.rlike(r"^[0-9a-f]{64}\z"), low)
 
 
 def _head(content: Column, n: int = 2) -> Column:
@@ -112,5 +112,5 @@ def object_key(hex_hash: Column, prefix: str = "objects") -> Column:
 
 def key_to_hash(key: Column, prefix: str = "objects") -> Column:
     """The inverse of :func:`object_key`; null for other keys."""
-    shape = f"^{prefix}/[0-9a-f]{{2}}/[0-9a-f]{{2}}/[0-9a-f]{{2}}/[0-9a-f]{{58}}$"
+    shape = f"^{prefix}/[0-9a-f]{{2}}/[0-9a-f]{{2}}/[0-9a-f]{{2}}/[0-9a-f]{{58}}\\z"
     return F.when(key.rlike(shape), F.replace(F.substr(key, F.lit(len(prefix) + 2)), F.lit("/"), F.lit("")))

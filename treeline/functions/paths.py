@@ -18,7 +18,7 @@ def ancestors(path: Column, with_root: bool = True) -> Column:
 
 def parent(path: Column) -> Column:
     """The parent directory, empty for a top-level name."""
-    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
 
 
 def base_name(path: Column) -> Column:
@@ -116,5 +116,5 @@ def stub_logical(path: Column, app: str = APP) -> Column:
 def split_target(target: Column) -> tuple[Column, Column]:
     """(reference, path) of ``ref:path`` or ``ref/path``; the path is null if absent."""
     ref = F.regexp_extract(target, "^([^:/]*)", 1)
-    rest = F.regexp_extract(target, "^[^:/]*[:/](.*)$", 1)
+    rest = F.regexp_extract(target, r"(?s)^[^:/]*[:/](.*)\z", 1)
     return ref, F.when(target.rlike("^[^:/]*[:/]"), rest)

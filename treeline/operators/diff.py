@@ -185,3 +185,16 @@ def without_covered(paths: DataFrame) -> DataFrame:
     paths = paths.select("path").distinct()
     below = paths.select("path", F.explode(ancestors(F.col("path"))).alias("above")).join(paths.select(F.col("path").alias("above")), "above", "left_semi")
     return paths.join(below.select("path").distinct(), "path", "left_anti")
+
+
+def emptied_directories(deleted: DataFrame, remaining: DataFrame) -> DataFrame:
+    """Directories of deleted paths that hold nothing any more, deepest first."""
+    over = lambda rows: rows.select(F.explode(ancestors(F.col("path"), with_root=False)).alias("path")).distinct()
+    return over(deleted).join(over(remaining), "path", "left_anti").orderBy(F.size(F.split("path", "/")).desc(), "path")
+
+
+def listing(snapshot: DataFrame, changes: DataFrame, ignored: F.Column) -> DataFrame:
+    """Listing rows of files that are not ignored: status char (blank: unchanged), hash shortened to eight digits, size, path."""
+    status = changes.where("change <> 'D'").select("path", F.col("change").alias("status"))
+    shown = snapshot.where(~ignored).join(status, "path", "left")
+    return shown.select(F.coalesce("status", F.lit(" ")).alias("status"), F.substring("hash", 1, 8).alias("hash"), "size", "path").orderBy("path")

@@ -149,3 +149,18 @@ def running_offsets(objects: DataFrame, group: str, order: str) -> DataFrame:
     """The offset of each object in its group's byte stream."""
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return objects.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def superseded_bytes(entries: DataFrame, order: list[str]) -> DataFrame:
+    """Bytes of entries that a newer generation replaced, and the entries' count."""
+    kept = latest_entries(entries, order).agg(F.count("*").alias("kept"), F.sum("length").alias("kept_bytes"))
+    everything = entries.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    both = everything.withColumn("_k", F.lit(1)).join(kept.withColumn("_k", F.lit(1)), "_k")  # one row each
+    return both.select((F.col("n") - F.col("kept")).alias("superseded"), (F.col("bytes") - F.col("kept_bytes")).alias("superseded_bytes"))
+
+
+def pack_sizes(packed_objects: DataFrame, group: str) -> DataFrame:
+    """Packs written by each writer: their number and sizes in order."""
+    packs = packed_objects.groupBy(group, "pack_no").agg(F.sum("length").alias("bytes"))
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("pack_no", "bytes"))), lambda p: p["bytes"])
+    return packs.groupBy(group).agg(F.count("*").alias("packs"), sizes.alias("sizes"))

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register plans."""
-    from treeline.plans import objects, snapshots, storage  # noqa: F401
+    from treeline.plans import details, objects, snapshots, storage  # noqa: F401
 
 
 load()
