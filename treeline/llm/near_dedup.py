@@ -257,4 +257,5 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     """The rows of ``docs`` whose id is that of their class; rows with a null id stay, repeated rows of a kept id give one."""
     kept = near_duplicate_classes(docs, threshold).where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
     rest = docs.join(kept, "doc_id", "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return rest.withColumn("_apart", apart).dropDuplicates(["doc_id", "_apart"]).select(*docs.columns)
