@@ -10,8 +10,8 @@ candidates whose hash was found in enough documents lose their lines.
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys under
 ``min_chars`` code points are never dropped.  Null or empty text is one empty line.
 Rows that repeat a document id count as one document; a null id counts as the smallest.
-Hashes have 128 bits.  Nothing here grows with a hot line but its own pairs, which
-are joined with one row for the hash (Spark splits such a partition of the join).
+Hashes have 128 bits.  A hot line's pairs are counted by task
+first and joined in ``SALTS`` parts.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from treeline.llm.shared import discard, filled, shared_dir, slices
 
 FANOUT = 2
+#: Salt values over which the pairs of one line are spread.
+SALTS = 16
 BATCHES = 4
 NO_ID = -(1 << 63)
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -97,6 +99,14 @@ def _line_hashes(docs: DataFrame, bounds: list[int], min_chars: int) -> DataFram
     return docs.mapInArrow(run, "batch int, h binary, doc long")
 
 
+def _salted(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+
+
+def _for_each_salt(keys: DataFrame) -> DataFrame:
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def dropped_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batches: int = BATCHES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc, drop array<binary>)``: the line keys that each document loses."""
     spark = docs.sparkSession
@@ -118,15 +128,16 @@ def dropped_keys(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batche
         path = shared_dir(spark, "batch-keys")
         keys.write.parquet(path)
         keys = spark.read.schema(keys.schema).parquet(path)
-        lost = own.join(keys.where(~F.col("new") | (F.col("n_docs") > 1)), "h").where(~F.col("new") | (F.col("doc") != F.col("keeper")))
+        repeated = _for_each_salt(keys.where(~F.col("new") | (F.col("n_docs") > 1)))
+        lost = _salted(own).join(repeated, ["h", "salt"]).where(~F.col("new") | (F.col("doc") != F.col("keeper")))
         out = shared_dir(spark, "line-candidates")
         lost.select("h", "doc").write.parquet(out)
         candidates.append(out)
         runs.add(keys.select("h", "n_docs", F.when(F.col("new"), F.col("keeper")).alias("keeper")))
         discard(spark, path)
     discard(spark, staged)
-    frequent = runs.merged().where(F.col("n_docs") >= min_docs).select("h")
-    lost = spark.read.schema("h binary, doc long").parquet(*candidates).join(frequent, "h", "left_semi")
+    frequent = _for_each_salt(runs.merged().where(F.col("n_docs") >= min_docs).select("h"))
+    lost = _salted(spark.read.schema("h binary, doc long").parquet(*candidates)).join(frequent, ["h", "salt"], "left_semi")
     return lost.groupBy("doc").agg(F.collect_set("h").alias("drop"))
 
 
