@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, sort_free: bool = True) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
@@ -43,11 +43,6 @@ def discard(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def staged_path(df: DataFrame) -> str:
-    """The folder of a DataFrame that :func:`staged` made."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
-
-
 def filled(column: pa.Array) -> pa.Array:
     """A string or binary column as binary with 32-bit offsets; null becomes empty."""
     if isinstance(column, pa.ChunkedArray):
