@@ -281,3 +281,11 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r.cmd, r.runs, r.writes) for r in spark.table("io_totals").collect()] == [("push", 2, 3)]
+
+
+def test_numbered_over_partitions(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 as k").repartition(5)
+    ranked = stats.numbered(rows, F.desc("k")).collect()
+    assert sorted((r["rank"], r.k) for r in ranked) == [(i + 1, 999 - i) for i in range(1000)]
+    assert stats.newest_half(rows.limit(0), "k").count() == 0
+    assert sorted(r.k for r in stats.newest_half(rows.where("k < 5"), "k").collect()) == [2, 3, 4]

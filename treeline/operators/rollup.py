@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treeline.functions.hashing import TAG_TREE, tag
 from treeline.functions.paths import ancestors, base_name, depth, parent
+from treeline.sources.staging import cut
 
 
 def directory_totals(leaves: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def merkle(leaves: DataFrame) -> DataFrame:
     level, found = entries.where(F.col("depth") == deepest), None
     for d in range(deepest, 0, -1):
         body = F.concat(tag(TAG_TREE), F.encode(F.concat(F.lit('{"kind":"normal","entries":['), F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["json"]), ","), F.lit("]}")), "UTF-8"))
-        dirs = level.groupBy("dir").agg(F.sha2(body, 256).alias("hash"), F.sum("size").alias("size"))
+        dirs = cut(level.groupBy("dir").agg(F.sha2(body, 256).alias("hash"), F.sum("size").alias("size")))  # else each level would redo all below it
         found = dirs if found is None else found.unionByName(dirs)
         if d > 1:
             above = dirs.select(parent(F.col("dir")).alias("_up"), base_name(F.col("dir")).alias("name"), "hash", "size", F.lit(None).cast("string").alias("mode"))

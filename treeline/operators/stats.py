@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from treeline.functions.content import bucket_index, bucket_label, compression, content_type, object_kind
 from treeline.functions.hashing import unescape_standalone
+from treeline.sources.staging import cut
 
 
 def size_histogram(sizes: DataFrame, size: str = "size") -> DataFrame:
@@ -93,13 +94,28 @@ def nth_newest(records: DataFrame, n: int) -> DataFrame:
     return records.orderBy(F.desc("ts"), F.desc("line_no")).limit(n).orderBy("ts", "line_no").limit(1).where(F.lit(n) <= records.limit(n).count())
 
 
-def newest_half(records: DataFrame, order: Column | str = "line_no") -> DataFrame:
-    """Retention: drops the older ``floor(n / 2)`` records, by their order.
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``rank`` (from 1) in a total order over all partitions.
 
-    The cut is found by counting on sampled ranges (a global sort), not by one task's window.
+    Rows are range-partitioned and sorted, and cut there; a rank is the place in the partition plus
+    the sizes of those before (one number for each partition comes to the driver).
     """
-    n = records.count()
-    return records.orderBy(F.desc(order) if isinstance(order, str) else order).limit(n - n // 2)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).cast("int")
+    sizes = dict(placed.groupBy(part.alias("part")).count().collect())
+    before = [0]
+    for k in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(k, 0))
+    starts = F.array(*[F.lit(x).cast("long") for x in before])
+    return placed.withColumn("rank", F.get(starts, part) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at")
+
+
+def newest_half(records: DataFrame, order: str = "line_no") -> DataFrame:
+    """Retention: drops the older ``floor(n / 2)`` records by their order."""
+    ranked = numbered(records, F.desc(order))
+    n = ranked.count()
+    return ranked.where(F.col("rank") <= n - n // 2).drop("rank")
 
 
 def expired(files: DataFrame, keep: int = 200) -> DataFrame:
