@@ -22,7 +22,8 @@ from treeline.llm.shared import staged
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return judge_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))  # the judge's columns may have names of theirs
+    return judge_quality(whole, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
