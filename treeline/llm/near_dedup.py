@@ -41,8 +41,8 @@ DF_BUCKETS = 1 << 18
 SMALL = 16
 #: A leader's candidates are verified in groups of about this many.
 GROUP = 64
-#: Shingles that are sampled at a time.
-CHUNK = 1 << 15
+#: Places of the bitmap that thins texts out before they are shuffled (2 MiB; a prime).
+PLACES = 16_777_213
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +151,28 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
     return docs.mapInArrow(run, "doc long, copy binary, bands array<long>")
 
 
+def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc`` may be in ``wanted``: all that are, and few others.
+
+    A bitmap of fixed size is broadcast; with very many wanted ids it only passes more rows on.
+    """
+    at = F.pmod("doc", F.lit(PLACES))
+    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(doc, {PLACES}) & 63 as int)))").alias("bits"))
+    bitmap = np.zeros(PLACES // 64 + 1, np.int64)
+    for row in words.collect():  # at most one row for each word of the bitmap
+        bitmap[row.word] = row.bits
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc")
+            place = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), PLACES)
+            hit = (held.value[place >> 6] >> (place & 63)) & 1 > 0
+            yield batch.filter(pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose weighted Jaccard similarity is at least ``threshold``.
 
@@ -224,7 +246,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     band = alike.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("rep").alias("doc"))
     shared = band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = staged(band.join(shared, "bucket"), "buckets")
-    texts = plain.join(members.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    wanted = members.select("doc").distinct()
+    texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
     texts = staged(texts, "candidate-texts")
     links = tried = roots = None
     while True:
