@@ -15,15 +15,14 @@ from treeline.llm.bpe_trie import encode_decode
 from treeline.llm.decontaminate import without_contaminated
 from treeline.llm.line_dedup import dedup_lines
 from treeline.llm.near_dedup import one_of_each_class
-from treeline.llm.quality import judge_quality
+from treeline.llm.quality import kept_by_quality
 from treeline.llm.queries import vocabulary_path
 from treeline.llm.shared import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))  # the judge's columns may have names of theirs
-    return judge_quality(whole, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select("_row.*")
+    return kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
