@@ -12,9 +12,11 @@ def cut(df: DataFrame) -> DataFrame:
 
     Only a local master without ``spark.checkpoint.dir`` gets a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="treeline-"))
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="treeline-"))
     return df.checkpoint()
