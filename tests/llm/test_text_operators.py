@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.llm import components, decontaminate, lbl, line_dedup, near_dedup, quality
 
@@ -138,6 +139,24 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
+def test_large_bucket_led_by_strangers(spark, monkeypatch):
+    texts, want = {k: prose(60, 9000 + k) for k in range(25)}, {k: k for k in range(25)}  # strangers have the least ids
+    for g, n in enumerate([1000, *[2] * 20]):
+        least = len(texts)
+        for _ in range(n):
+            want[len(texts)] = least
+            texts[len(texts)] = f"{prose(100, 700 + g)} own{len(texts)}"
+    chain, least = prose(300, 5).split(), len(texts)
+    places = random.Random(2).sample(range(30), 30)
+    for k in range(30):  # only neighbours in the chain are alike
+        want[least + k] = least
+        texts[least + k] = " ".join(chain[6 * places[k] : 6 * places[k] + 100])
+    one_bucket = lambda docs, idf: docs.select("doc", F.unhex(F.md5("text")).alias("copy"), F.array(F.lit(1).cast("long")).alias("bands"))
+    monkeypatch.setattr(near_dedup, "signatures", one_bucket)
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {x.doc_id: x.class_id for x in got.collect()} == want
+
+
 def test_samples_agree_with_the_similarity():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 63, 600, dtype=np.uint64)

@@ -7,11 +7,12 @@
 2. Improved consistent weighted sampling (Ioffe, 2010) draws ``BANDS * ROWS`` samples for each
    text; two texts agree in one with the probability of their weighted Jaccard
    similarity.  ``ROWS`` samples make a band.  Equal texts collapse to their least id first.
-3. Texts that agree in a band are candidates.  A bucket, however large, gives links from its
-   least member to each other one, never all pairs; each candidate is verified by the exact
-   weighted Jaccard similarity of the two texts.  Verified links are joined to components; in
-   buckets that still hold several components the least member of each further one takes its turn,
-   until a round verifies no new link.  Small buckets (``SMALL`` components) are compared in full.
+3. Texts that agree in a band are candidates; each candidate is verified by the exact
+   weighted Jaccard similarity of the two texts.  In a bucket, however large, one member is first
+   held against each other one, and verified links are joined to components.  While a bucket
+   holds several components, 4, 16, 64 .. further members take their turns against all members of
+   other components, until any two members have met or share a component.  So texts that
+   are alike cost little; a bucket of strangers is compared in full, whatever its size.
 4. A document's class is the least id of its component.
 
 Finding a pair is probabilistic: at a similarity of 0.8 a band agrees with a probability of 0.33
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.components import components
@@ -39,6 +40,8 @@ BANDS, ROWS = 16, 5
 THRESHOLD = 0.8
 DF_BUCKETS = 1 << 18
 SMALL = 16
+#: Leaders of a bucket in one round (under Spark's limit for a group limit below the shuffle).
+MOST_LEADERS = 512
 #: A leader's candidates are verified in groups of about this many.
 GROUP = 64
 #: Places of the bitmap that thins texts out before they are shuffled (2 MiB; a prime).
@@ -218,21 +221,24 @@ def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
     return low / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - low)
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of each bucket, ``members`` having ``bucket, doc, root``.
+def _turns(members: DataFrame, lead: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs ``(a, b)`` of this round, the members that have not led yet), ``members`` having ``bucket, doc, root``.
 
-    One row for each component and bucket stands for it.  The least links to all others; in a
-    bucket of at most ``SMALL`` components each links to each.  A bucket's first rows are
-    found by aggregation, so a bucket of any size is spread over tasks.
+    In each bucket that holds several components, ``lead`` members (those of its smallest components
+    first) meet all members of other components; where at most ``SMALL`` members are left each leads.
+    Who has led has met every member that is left or shares its component, and goes.  A bucket's leaders are
+    found by a group limit below the shuffle, so a bucket of any size is spread over tasks.
     """
-    faces = members.groupBy("bucket", "root").agg(F.min("doc").alias("doc"))
-    sizes = faces.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
-    faces = faces.join(sizes, "bucket")
-    star = faces.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    small = faces.where(f"n between 3 and {SMALL}").select("bucket", "doc")
-    rest = small.groupBy("bucket").agg(F.array_sort(F.collect_list("doc")).alias("all")).select(F.posexplode("all").alias("i", "a"), "all")
-    rest = rest.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
-    return star.unionByName(rest).distinct()
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    several = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("k")).where("k > 1").select("bucket", "n")
+    waiting = staged(members.join(several, "bucket").join(parts, ["bucket", "root"]), "waiting")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "doc"))
+    first = waiting.where(f"n > {SMALL}").withColumn("place", place).where(F.col("place") <= lead)
+    leaders = staged(waiting.where(f"n <= {SMALL}").select("bucket", "doc", "root").unionByName(first.select("bucket", "doc", "root")), "leaders")
+    marked = waiting.join(leaders.select("bucket", "doc", F.lit(True).alias("leads")), ["bucket", "doc"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    other = marked.select("bucket", F.col("doc").alias("b"), F.col("root").alias("root_b"), "leads")
+    pairs = leaders.withColumnRenamed("doc", "a").join(other, "bucket").where("root <> root_b and (a < b or not leads)").select("a", "b").distinct()
+    return pairs, marked.where("not leads").select("bucket", "doc")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -250,22 +256,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
     texts = staged(texts, "candidate-texts")
     links = tried = roots = None
+    lead = 1
     while True:
         rooted = members.withColumn("root", F.col("doc")) if roots is None else members.join(roots, members["doc"] == roots["node"], "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-        pairs = _stars(rooted)
+        pairs, members = _turns(rooted, lead)
+        members = staged(members, "buckets")
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         found = staged(verified(pairs, texts, idf, threshold).select("a", "b"), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if links is None:
-            links, new = found, not found.isEmpty()
-        else:
-            new = not found.isEmpty()
-            links = links.unionByName(found)
-        if not new:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.unionByName(both)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = staged(components(links), "roots")
+        if members.isEmpty():
             break
-        roots = staged(components(links), "roots")
+        lead = min(4 * lead, MOST_LEADERS)
     of_rep = alike.select("copy", "rep")
     if roots is not None:
         of_rep = of_rep.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
