@@ -322,6 +322,12 @@ def content_type_totals(spark, sf):
     return stats.content_type_totals(_objects(spark, sf).where("doc_id % 6 = 4")).select("content_type", "count", "stored", "logical", F.round("ratio_pct", 4).alias("ratio_pct"))
 
 
+@query("ag13_all_content_types")
+def all_content_types(spark, sf):
+    """Every blob by its content type; ``ag13_content_type_totals`` has zstd frames only. Held against brute force."""
+    return stats.content_type_totals(_objects(spark, sf)).select("content_type", "count", "stored", "logical", F.round("ratio_pct", 4).alias("ratio_pct"))
+
+
 _LISTING = f"""{S.LATEST}, listing AS (SELECT hash AS key, length AS size FROM latest UNION ALL SELECT sha256('orphan-' || CAST(doc_id AS VARCHAR)) AS key, doc_id AS size FROM documents),
   known AS (SELECT hash AS key, CASE kind WHEN 'pack' THEN 'pack' WHEN 'inline' THEN 'index' ELSE 'standalone' END AS class FROM latest),
   classes AS (SELECT l.key, l.size, coalesce(k.class, 'orphan') AS class FROM listing l LEFT JOIN known k USING (key))"""
