@@ -133,6 +133,12 @@ def inspect_index(spark, sf):
     return stats.to_report(_latest(spark, sf).where("hash < '01'").select("hash", "kind", "length"))
 
 
+@query("sc39_inspect_whole_index", f"WITH {S.LATEST} SELECT '{{\"hash\":\"' || hash || '\",\"kind\":\"' || kind || '\",\"length\":' || CAST(length AS VARCHAR) || '}}' AS json FROM latest")
+def inspect_whole_index(spark, sf):
+    """Every latest entry; ``sc39_inspect_index`` has one range of hashes."""
+    return stats.to_report(_latest(spark, sf).select("hash", "kind", "length"))
+
+
 @query("st08_known_keys", f"WITH {S.LATEST} SELECT hash, CASE WHEN kind = 'pack' THEN 'pack' ELSE 'other' END AS class FROM latest")
 def known_keys(spark, sf):
     entries = _latest(spark, sf)
