@@ -104,6 +104,22 @@ def resolve(spark, sf):
     return index.resolve(entries, packs).select("hash", F.hex("bytes").alias("bytes"))
 
 
+@query(
+    "pk12_resolve_all",
+    f"WITH {S.FILES}, e AS (SELECT DISTINCT sha256(text) AS hash, encode(text) AS body FROM files), k AS (SELECT hash, body, CASE octet_length(body) % 3 WHEN 0 THEN 'inline' WHEN 1 THEN 'pack' ELSE 'standalone' END AS kind FROM e) SELECT hash, CASE WHEN kind <> 'standalone' THEN hex(body) END AS bytes FROM k",
+)
+def resolve_all(spark, sf):
+    """Entries of all files and kinds, at several offsets, to all their bytes; ``pk12_resolve`` has heads of ASCII files in packs."""
+    body = F.encode("text", "UTF-8")
+    files = T.blobs(spark, sf).select(sha(body).alias("hash"), body.alias("body"), "size").dropDuplicates(["hash"])
+    kind = F.when(F.col("size") % 3 == 0, "inline").when(F.col("size") % 3 == 1, "pack").otherwise("standalone")
+    files = files.select("*", kind.alias("kind"), (F.col("size") % 7).alias("offset"))
+    head = F.encode(F.expr("substring('headers', 1, cast(offset as int))"), "UTF-8")
+    packs = files.where("kind = 'pack'").select(F.col("hash").alias("pack_hash"), F.concat(F.unhex(F.lit("EDE1")), head, "body", F.encode(F.lit("tail"), "UTF-8")).alias("bytes"))
+    entries = files.select("hash", "kind", F.when(F.col("kind") == "inline", F.col("body")).alias("data"), F.col("hash").alias("pack_hash"), "offset", F.col("size").alias("length"))
+    return index.resolve(entries, packs).select("hash", F.hex("bytes").alias("bytes"))
+
+
 @query("lm08_releasable", f"WITH {S.LOGS}, n AS (SELECT conv_id, max(n) AS n FROM logs GROUP BY conv_id) SELECT CAST(conv_id AS VARCHAR) AS path FROM n WHERE (SELECT count(*) FROM n WHERE n >= 3) = 0")
 def releasable(spark, sf):
     merged = merge3.merged_files(_three_files(spark, sf, rewrite=True))
