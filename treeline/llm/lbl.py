@@ -1,21 +1,27 @@
 """Log-bilinear language model, trained with noise-contrastive estimation, and scores of whole texts.
 
-The corpus is tokenised once into blocks of documents (codes into the block's
-sorted word hashes), written to the shared folder.  Counts of all training words are
-gathered by ranges of the hash, and each block gets the counts of its own words back.
-
-The model predicts the next of ``VOCABULARY`` classes (the end of a text, the most frequent
-training words and one class for all other words) from the two classes before it: the predicted
-vector is the sum of the context vectors, weighted by place; a class scores its inner
-product with the class's vector plus a bias.  Every training token is used once: blocks of the
-first half train from the same start with noise-contrastive estimation (noise: the unigram law), their
-parameters are averaged by tokens, and the second half goes on from there.  Matrix products then
-give all scores, and with them the exact normaliser of every context.  A word of the last class is
-further weighted by its add-one share of that class, so that a text's probability is normalised.
-
-Null text is empty and holds its end alone; very long texts are scored in whole;
-every row gives one row.  Words are 64-bit hashes.  Documents whose id's crc32 (as text; null:
-empty text) has remainder 2 by 7 are held out of all counts and training.
+1. Training words are counted over all documents: tasks count first, then one row a word and task is
+   shuffled.  Words are 64-bit hashes whose lowest byte is a hash of the word's ending.
+2. The model's symbols are the end of a text, every word with a count of ``MIN_COUNT`` or more (with
+   very many of them those above the least count that leaves at most ``MAX_WORDS``, the bound of what is
+   broadcast), and ``ENDINGS`` symbols that all rarer words share by their ending.  The vocabulary
+   so follows the corpus until it reaches that bound; counts of words are never bounded.
+3. Texts become codes and are dealt into blocks of about ``BLOCK_TOKENS`` tokens by a hash of id and
+   text, in the order of ids and hashes: blocks depend on the table alone, not on its partitions.
+4. The predicted vector is the sum of the vectors of the ``CONTEXT`` symbols before, weighted by place.
+   Symbols in order of frequency form classes of equal size; a symbol's probability is that of its class
+   times that within the class, both proportional to the exponent of an inner product plus a bias.
+   Every training token is used once.  Blocks train one after another in rounds of 1, 1, 2, 4, 8 ..
+   blocks; those of a round start from the same parameters, and each row of parameters then moves
+   by the mean of the changes of the blocks that have its symbol.  Changes are summed as integers, so that
+   neither partitions nor retries move a score.  The number of rounds grows with the input.
+5. Matrix products give all scores of a class, and so the exact normalisers.  A rare word is
+   weighted by its add-one share of its ending.  Counts of the ``NEAR_WORDS`` most frequent words are
+   broadcast; those of all others are joined by word.
+
+Null text is empty and holds its end alone; texts of any length are scored in whole; every row, repeated or
+with a null id, gives one row; an empty table none.  Other columns are ignored.  Documents whose id's
+crc32 (as text; null: empty text) has remainder 2 by 7 are held out of all counts and training.
 """
 
 from __future__ import annotations
@@ -27,249 +33,460 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import added_vectors, filled, slices, staged, vector_rows
-from treeline.llm.words import word_hashes
-
-VOCABULARY, WIDTH, NOISE = 1024, 16, 32
-BLOCK_TOKENS, BATCH_TOKENS, RATE = 200_000, 4096, 0.1
-RANGE_WORDS = 400_000
-#: The hash that stands for the end of a text.
-END = np.uint64(0x656E64)
+from treeline.llm.shared import filled, shared_dir, slices, staged
+from treeline.llm.words import words
+
+MAX_WORDS, MIN_COUNT, ENDINGS, NEAR_WORDS = 65_000, 4, 256, 1 << 20
+WIDTH, CONTEXT = 16, 3
+CLASS_NOISE, WORD_NOISE = 32, 2
+BLOCK_TOKENS, BATCH_TOKENS, RATE, START = 1 << 21, 2048, 0.1, 0.05
+#: Changes of parameters are summed in steps of this.
+STEP = 2.0**-20
+#: Logarithms of counts that come from joins are summed in steps of this.
+LOG_STEP = 2.0**-40
+#: Distinct words that a task counts before it sends them on.
+TASK_WORDS = 1 << 20
+SEGMENTS = 64
+#: Tokens that are scored at a time, and rows of one matrix product.
+SCORED_TOKENS, PRODUCT_ROWS = 1 << 17, 8192
 _zstd = lambda raw: pa.Codec("zstd", 1).compress(raw, asbytes=True)
+_unzstd = lambda raw, size: pa.Codec("zstd").decompress(raw, size, asbytes=True)
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ids, word hashes in ascending order with training counts, codes, offsets."""
+def word_hash(word: bytes) -> int:
+    """The hash of a word; the lowest byte tells its ending (three bytes before closing punctuation)."""
+    return xxhash.xxh3_64_intdigest(word) >> 8 << 8 | xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-3:]) & 255
 
-    def emit(number: int, ids: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        flat, size = np.concatenate(hashes), np.concatenate(sizes)
-        held = np.array([held_out(i) for i in ids])
-        words, codes = np.unique(flat, return_inverse=True)
-        counts = np.bincount(codes[np.repeat(~held, size)], minlength=len(words))
-        columns = [
-            pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([size.astype(np.int32).tobytes()]), pa.array([len(flat)]),
-            pa.array([_zstd(codes.astype("<i4").tobytes())]), pa.array([words.astype("<u8").tobytes()]), pa.array([counts.astype("<i4").tobytes()]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "tokens", "codes", "words", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of A-Z lower-cased texts, offsets of the rows' words)."""
+    flat, rows = words(filled(pc.ascii_lower(text.cast(pa.string()))))
+    coded = flat.dictionary_encode()
+    distinct = np.fromiter(map(word_hash, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    return distinct[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64), rows
 
-        number, ids, hashes, sizes, n = TaskContext.get().partitionId() << 32, [], [], [], 0
-        for batch in batches:
-            for part, text in slices(batch, "text", 1 << 20):
-                h, rows = word_hashes(filled(pc.ascii_lower(text.cast(pa.string()))))
-                size = np.diff(rows) + 1
-                withend = np.full(len(h) + len(size), END)
-                keep = np.ones(len(withend), bool)
-                keep[np.cumsum(size) - 1] = False
-                withend[keep] = h
-                ids += part.column("id").to_pylist()
-                hashes.append(withend)
-                sizes.append(size)
-                n += len(withend)
-                if n >= BLOCK_TOKENS:
-                    yield emit(number, ids, hashes, sizes)
-                    number, ids, hashes, sizes, n = number + 1, [], [], [], 0
-        if ids:
-            yield emit(number, ids, hashes, sizes)
 
-    schema = "block long, ids array<long>, sizes binary, tokens long, codes binary, words binary, counts binary"
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, schema)
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``(h, n)``: all words of the training texts and their counts; ``h`` null: texts, their ends."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, ends = [], 0, 0
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """``(block, part, c, distinct, total, top_words, top_counts)``: training counts of each block's words.
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return h, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(h)).astype(np.int64)
 
-    Part ``k`` of ``2 ** bits`` holds a range of the hash, of about ``RANGE_WORDS`` entries;
-    each block adds at most one entry for a word, so no part is hot.  One row of each part
-    (with the least block) has the part's distinct training words, their sum and the most frequent ones.
+        def rows(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+        for batch in batches:
+            keep = pa.array([not held_out(i) for i in batch.column("id").to_pylist()], pa.bool_())
+            for _, text in slices(batch.filter(keep), "text", 1 << 20):
+                h, n = np.unique(hashed_words(text)[0], return_counts=True)
+                held.append((h, n))
+                size, ends = size + len(h), ends + len(text)
+                if size > 2 * TASK_WORDS:
+                    held = [added()]
+                    size = len(held[0][0])
+                    if size > TASK_WORDS:
+                        yield rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield rows(*added())
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([ends], pa.int64())], names=["h", "n"])
+
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+class Symbols:
+    """The model's symbols, in order of falling count, and the codes of words.
+
+    A code is a place in ``words`` (hashes by falling count, hash), or beyond them the ending of
+    any other word.  The first ``modelled`` words are symbols of their own.
     """
-    entries = blocks.agg(F.sum(F.length("words") / 8)).first()[0] or 0
-    bits = max(3, math.ceil(math.log2(max(1, entries / RANGE_WORDS))))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, words: np.ndarray, counts: np.ndarray, modelled: int, ends: int, tokens: int, distinct: int, endings: np.ndarray):
+        """``endings``: (tokens, words) of the words that are not modelled, by ending."""
+        self.words, self.counts, self.tokens, self.distinct = words, counts.astype(np.int64), tokens, distinct
+        own = np.concatenate([[ends], counts[:modelled], endings[:, 0]]).astype(np.int64)  # end, words, endings
+        order = np.argsort(-own, kind="stable")
+        self.symbol_counts = own[order]
+        place = np.empty(len(own), np.int32)
+        place[order] = np.arange(len(own))
+        self.end = int(place[0])
+        self.end_count = ends
+        rest = place[1 + modelled :]
+        self.symbol_of = np.concatenate([place[1 : 1 + modelled], rest[(words[modelled:] & np.uint64(ENDINGS - 1)).astype(np.int64)], rest]).astype(np.uint16)
+        self.share = np.concatenate([np.zeros(modelled), -np.log10(endings.sum(axis=1) + 1.0)])  # of a word not modelled: log10(c + 1) is added
+        self.modelled = modelled
+        self.per_class = math.ceil(math.sqrt(len(own)))
+        self.by_hash = np.argsort(words)
+        self.sorted = words[self.by_hash]
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        n = len(self.words)
+        far = n + (hashes & np.uint64(ENDINGS - 1)).astype(np.int64)
+        if not n:
+            return far
+        at = np.minimum(np.searchsorted(self.sorted, hashes), n - 1)
+        return np.where(self.sorted[at] == hashes, self.by_hash[at], far)
+
+    def word_share(self, codes: np.ndarray) -> np.ndarray:
+        """What a word that shares a symbol adds to its log10 probability, but for far words' log10(c + 1)."""
+        own = codes < self.modelled
+        near = codes < len(self.words)
+        place = np.where(own, 0, self.modelled + np.where(near, (self.words[np.minimum(codes, len(self.words) - 1)] & np.uint64(ENDINGS - 1)).astype(np.int64) if len(self.words) else 0, codes - len(self.words)))
+        return np.where(own, 0.0, self.share[np.minimum(place, len(self.share) - 1)] + np.where(near, self.log_count(codes), 0.0))
+
+    def log_count(self, codes: np.ndarray) -> np.ndarray:
+        """log10(c + 1), 0 for far words."""
+        table = np.append(np.log10(self.counts + 1.0), 0.0)
+        return table[np.minimum(codes, len(self.words))]
+
+
+def symbols(counts: DataFrame) -> Symbols:
+    """The symbols of the counted words; what comes to the driver is bounded by ``NEAR_WORDS``."""
+    words = counts.where("h is not null")
+    level = F.floor(F.log2("n") * 64).cast("int")
+    sizes = dict(words.groupBy(level.alias("level")).count().collect())  # 64 rows for each doubling of the largest count
+
+    def least_level(most: int, at_least: int) -> int:
+        total, low = 0, max(sizes, default=0) + 1
+        for found in sorted(sizes, reverse=True):
+            total += sizes[found]
+            if total > most or 2 ** (found / 64) < at_least - 1e-9:
+                break
+            low = found
+        return low
+
+    near, own = least_level(NEAR_WORDS, 1), least_level(MAX_WORDS, MIN_COUNT)
+    leveled = words.withColumn("level", level)
+    rows = leveled.where(F.col("level") >= near).select("h", "n", "level").toPandas()  # at most NEAR_WORDS rows
+    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    order = np.lexsort((h, -n))
+    rest = leveled.where(F.col("level") < own).groupBy(F.col("h").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
+    endings = np.zeros((ENDINGS, 2), np.int64)
+    for r in rest:
+        endings[r.ending] = r.n, r.k
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)), F.count("*")).first()
+    return Symbols(h[order], n[order], int((rows["level"] >= own).sum()), total[1], total[0], total[2], endings)
+
+
+def blocks_of(docs: DataFrame, held, n_blocks: int) -> DataFrame:
+    """``(block, round, ids, sizes, tokens, codes, far)``: blocks of whole texts, a row each.
+
+    ``codes`` are those of all words, without the ends; ``far`` has the hashes of the words that are not near.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in slices(batch, "text", 1 << 20):
+                h, rows = hashed_words(text)
+                codes = held.value.codes(h)
+                far = codes >= len(held.value.words)
+                far_rows = np.concatenate([[0], np.cumsum(far)])[rows]
+                binary = lambda x, cuts, width: pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((cuts * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("deal"), part.column("id"), part.column("key"), binary(codes.astype("<i4"), rows, 4), binary(h[far].astype("<u8"), far_rows, 8)], names=["deal", "id", "key", "codes", "far"])
+
+    def emit(deal: int, part: int, ids: list, codes: list[bytes], far: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(c) // 4 for c in codes], "<i4")
+        raw = b"".join(codes)
+        columns = [pa.array([deal << 24 | part]), pa.array([deal.bit_length()], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()]), pa.array([len(raw) // 4]), pa.array([_zstd(raw)]), pa.array([b"".join(far)])]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "round", "ids", "sizes", "tokens", "codes", "far"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, ids, codes, far, n = None, 0, [], [], [], 0
         for batch in batches:
-            for block, words, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
-                w, n = np.frombuffer(words, "<u8"), np.frombuffer(counts, "<i4")
-                cuts = np.searchsorted(w, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(w)]
-                parts = range(1 << bits)
-                pieces = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] for x in (w, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([block] * len(parts)), *(pa.array(p, pa.binary()) for p in pieces)], names=["part", "block", "words", "counts"])
-
-    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<i4") for x in table.column("counts").to_pylist()])
-        distinct, place = np.unique(np.concatenate(words), return_inverse=True)
-        total = np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
-        sizes = np.cumsum([len(w) for w in words])
-        replies = [x.astype("<i8").tobytes() for x in np.split(total[place], sizes[:-1])]
-        n, first = len(words), int(np.argmin(table.column("block").to_numpy()))
-        best = np.lexsort((distinct, -total))[:VOCABULARY]
-        best = best[total[best] > 0]
-        only = lambda value, empty: pa.array([value if i == first else empty for i in range(n)])
-        columns = [
-            table.column("block"), pa.array([key[0].as_py()] * n), pa.array([_zstd(r) for r in replies]), only(int((total > 0).sum()), 0), only(int(total.sum()), 0),
-            pa.array([distinct[best].view(np.int64).tolist() if i == first else [] for i in range(n)], pa.list_(pa.int64())),
-            pa.array([total[best].tolist() if i == first else [] for i in range(n)], pa.list_(pa.int64())),
-        ]
-        return pa.table(columns, names=["block", "part", "c", "distinct", "total", "top_words", "top_counts"])
-
-    pieces = blocks.select("block", "words", "counts").mapInArrow(split, "part long, block long, words binary, counts binary")
-    schema = "block long, part long, c binary, distinct long, total long, top_words array<long>, top_counts array<long>"
-    return pieces.groupBy("part").applyInArrow(count, schema)
-
-
-class Classes:
-    """The model's classes: 0 the end, then the most frequent words, the last for all other words."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int):
-        """``words``: hashes by falling count, without END; ``counts``: END's count, then theirs."""
-        self.words = np.concatenate([[END], words])
-        self.order = np.argsort(self.words)
-        self.other = len(self.words)
-        self.counts = np.append(counts, n - counts.sum()).astype(np.int64)
-        self.n, self.v = n, v
-        self.other_size = self.counts[-1] + (v - len(self.words)) + 1
-
-    def of(self, words: np.ndarray) -> np.ndarray:
-        ordered = self.words[self.order]
-        at = np.minimum(np.searchsorted(ordered, words), len(ordered) - 1)
-        return np.where(ordered[at] == words, self.order[at], self.other).astype(np.int32)
+            for deal, i, c, f in zip(*(batch.column(x).to_pylist() for x in ("deal", "id", "codes", "far")), strict=True):
+                if ids and (deal != now or n > 8 * BLOCK_TOKENS):  # as bytes: twice a block, if many rows are alike
+                    yield emit(now, part, ids, codes, far)
+                    part, ids, codes, far, n = part + 1 if deal == now else 0, [], [], [], 0
+                now, n = deal, n + len(c)
+                ids.append(i)
+                codes.append(c)
+                far.append(f)
+        if ids:
+            yield emit(now, part, ids, codes, far)
+
+    key = F.xxhash64("text")
+    dealt = docs.select(F.pmod(F.xxhash64("id", key), F.lit(n_blocks)).alias("deal"), "id", key.alias("key"), "text")
+    coded = dealt.mapInArrow(encode, "deal long, id long, key long, codes binary, far binary")
+    tasks = min(n_blocks, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = coded.repartitionById(tasks, F.pmod("deal", F.lit(tasks)).cast("int")).sortWithinPartitions("deal", "id", "key")
+    return ordered.mapInArrow(gather, "block long, round int, ids array<long>, sizes binary, tokens long, codes binary, far binary")
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
+    for row in range(batch.num_rows):
+        value = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+        value["codes"] = np.frombuffer(_unzstd(value["codes"], 4 * value["tokens"]), "<i4")
+        value["sizes"] = np.frombuffer(value["sizes"], "<i4").astype(np.int64)
+        yield value
 
 
 class Model:
-    """Parameters as one vector, with views by name."""
+    """One matrix of parameters: rows of symbols, of classes and of places; columns context vector, target vector, bias."""
 
-    def __init__(self, n: int, vector: np.ndarray | None = None):
-        shapes = {"context": (n, WIDTH), "target": (n, WIDTH), "bias": (n,), "place": (2, WIDTH)}
-        self.vector = np.zeros(sum(math.prod(s) for s in shapes.values()), np.float32) if vector is None else vector.astype(np.float32)
-        at = 0
-        for name, shape in shapes.items():
-            setattr(self, name, self.vector[at : at + math.prod(shape)].reshape(shape))
-            at += math.prod(shape)
+    def __init__(self, n: int, per_class: int, matrix: np.ndarray):
+        self.n, self.per_class, self.classes = n, per_class, -(-n // per_class)
+        self.matrix = matrix
+        self.context = np.ascontiguousarray(matrix[:n, :WIDTH])
+        self.target = np.ascontiguousarray(matrix[: n + self.classes, WIDTH:-1])
+        self.bias = np.ascontiguousarray(matrix[: n + self.classes, -1])
+        self.place = np.ascontiguousarray(matrix[n + self.classes :, :WIDTH])
 
     @classmethod
-    def start(cls, counts: np.ndarray) -> Model:
-        model, random = cls(len(counts)), np.random.default_rng(7)
-        model.context[:] = random.normal(0, 0.1, model.context.shape)
-        model.target[:] = random.normal(0, 0.1, model.target.shape)
-        model.bias[:] = np.log((counts + 1) / (counts + 1).sum())
-        model.place[:] = 1
-        return model
-
-
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before and the one before that, the end (0) before a text's start."""
-    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    one = np.concatenate([[0], classes[:-1]])
-    one[first] = 0
-    two = np.concatenate([[0], one[:-1]])
-    two[first] = 0
-    return one, two
-
-
-def _scatter(table: np.ndarray, at: np.ndarray, rows: np.ndarray, memory: np.ndarray) -> None:
+    def start(cls, counts: np.ndarray, per_class: int) -> Model:
+        n, classes = len(counts), -(-len(counts) // per_class)
+        random = np.random.default_rng(7)
+        matrix = random.normal(0, 0.1, (n + classes + CONTEXT, 2 * WIDTH + 1)).astype(np.float32)
+        total = np.add.reduceat(counts + 1.0, np.arange(0, n, per_class))
+        matrix[:n, -1] = np.log((counts + 1) / np.repeat(total, per_class)[:n])
+        matrix[n : n + classes, -1] = np.log(total / total.sum())
+        matrix[n + classes :, :WIDTH] = 1
+        return cls(n, per_class, matrix)
+
+    def as_matrix(self) -> np.ndarray:
+        out = self.matrix.copy()
+        out[: self.n, :WIDTH], out[: self.n + self.classes, WIDTH:-1] = self.context, self.target
+        out[: self.n + self.classes, -1], out[self.n + self.classes :, :WIDTH] = self.bias, self.place
+        return out
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        return sum(self.context[before[k]] * self.place[k] for k in range(CONTEXT))
+
+    def log_probabilities(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the normalised probability of each symbol after its context."""
+        out = np.zeros(len(w))
+        for a in range(0, len(w), SCORED_TOKENS):
+            own = w[a : a + SCORED_TOKENS].astype(np.int64)
+            q = self.predicted(before[:, a : a + SCORED_TOKENS])
+            c = own // self.per_class
+            found = out[a : a + SCORED_TOKENS]
+            for b in range(0, len(own), PRODUCT_ROWS):
+                found[b : b + PRODUCT_ROWS] = self._log_softmax(q[b : b + PRODUCT_ROWS], self.n, self.n + self.classes, c[b : b + PRODUCT_ROWS])
+            order = np.argsort(c.astype(np.uint16), kind="stable")
+            cuts = np.searchsorted(c[order], np.arange(self.classes + 1))
+            for k in np.flatnonzero(np.diff(cuts)):
+                low, high = k * self.per_class, min(self.n, (k + 1) * self.per_class)
+                for b in range(cuts[k], cuts[k + 1], PRODUCT_ROWS):
+                    rows = order[b : min(b + PRODUCT_ROWS, cuts[k + 1])]
+                    found[rows] += self._log_softmax(q[rows], low, high, own[rows] - low)
+        return out
+
+    def _log_softmax(self, q: np.ndarray, low: int, high: int, at: np.ndarray) -> np.ndarray:
+        s = q @ self.target[low:high].T
+        s += self.bias[low:high]
+        s -= s.max(axis=1)[:, None]
+        own = s[np.arange(len(s)), at].astype(np.float64)
+        return own - np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64))
+
+
+def in_context(codes: np.ndarray, sizes: np.ndarray, known: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols of all tokens with their ends, the ``CONTEXT`` symbols before each, offsets of the texts); ends stand before a text."""
+    ends = np.cumsum(sizes + 1)
+    w = np.full(int(ends[-1]) if len(ends) else 0, known.end, np.uint16)
+    is_word = np.ones(len(w), bool)
+    is_word[ends - 1] = False
+    w[is_word] = known.symbol_of[codes]
+    before = np.full((CONTEXT, len(w)), known.end, np.uint16)
+    first = ends - sizes - 1
+    for k in range(CONTEXT):
+        before[k, k + 1 :] = w[: -(k + 1)]
+        for j in range(k + 1):  # the first places of a text
+            spots = (first + j)[sizes + 1 > j]
+            before[k, spots] = known.end
+    return w, before, first
+
+
+def _moved(table: np.ndarray, at: np.ndarray, rows: np.ndarray, memory: np.ndarray) -> None:
     """An Adagrad step of the rows of ``table`` by the sums of ``rows`` with the same index."""
     order = np.argsort(at, kind="stable")
-    where, first = np.unique(at[order], return_index=True)
+    ordered = at[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    where = ordered[first]
     total = np.add.reduceat(rows[order], first, axis=0)
     memory[where] += total * total
-    table[where] += RATE * total / np.sqrt(memory[where] + 1e-6)
+    table[where] += RATE * total / np.sqrt(memory[where])
 
 
-def train_block(model: Model, classes: np.ndarray, one: np.ndarray, two: np.ndarray, log_noise: np.ndarray, seed: int) -> None:
-    """One pass of noise-contrastive estimation over a block's training tokens."""
+def train_block(model: Model, w: np.ndarray, before: np.ndarray, counts: np.ndarray, seed: int) -> None:
+    """One pass of noise-contrastive estimation over a block's training tokens: classes, then symbols of the class."""
     random = np.random.default_rng(seed)
-    law = np.cumsum(np.exp(log_noise.astype(np.float64)))
-    shift = (log_noise + math.log(NOISE)).astype(np.float32)
-    memory = Model(len(log_noise))
-    memory.vector += 1.0
-    for a in range(0, len(classes), BATCH_TOKENS):
-        w, c1, c2 = classes[a : a + BATCH_TOKENS], one[a : a + BATCH_TOKENS], two[a : a + BATCH_TOKENS]
-        noise = np.minimum(np.searchsorted(law, random.random(NOISE) * law[-1]), len(law) - 1)
-        u1, u2 = model.context[c1], model.context[c2]
-        q = u1 * model.place[0] + u2 * model.place[1]
-        t, t_noise = model.target[w], model.target[noise]
-        good = 1 / (1 + np.exp((q * t).sum(axis=1) + model.bias[w] - shift[w]))
-        bad = -1 / (1 + np.exp(-(q @ t_noise.T + model.bias[noise] - shift[noise])))
+    n, size = model.n, model.per_class
+    total = np.add.reduceat(counts + 1.0, np.arange(0, n, size))
+    law = np.cumsum(total)
+    shift = np.log(CLASS_NOISE * total / law[-1]).astype(np.float32)
+    memory_context, memory_target, memory_bias = (np.full_like(x, START) for x in (model.context, model.target, model.bias))
+    memory_place = np.full_like(model.place, START)
+    for a in range(0, len(w), BATCH_TOKENS):
+        own, past = w[a : a + BATCH_TOKENS], before[:, a : a + BATCH_TOKENS]
+        c = own // np.uint16(size)
+        vectors = [model.context[past[k]] for k in range(CONTEXT)]
+        q = sum(vectors[k] * model.place[k] for k in range(CONTEXT))
+        # classes, against noise that the batch shares
+        noise = np.searchsorted(law, random.random(CLASS_NOISE) * law[-1], side="right").clip(max=model.classes - 1)
+        t, t_noise = model.target[n + c.astype(np.int64)], model.target[n + noise]
+        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + model.bias[n + c.astype(np.int64)] - shift[c]))
+        bad = -1 / (1 + np.exp(-(q @ t_noise.T + model.bias[n + noise] - shift[noise])))
         dq = good[:, None] * t + bad @ t_noise
-        _scatter(model.target, np.concatenate([w, noise]), np.concatenate([good[:, None] * q, bad.T @ q]), memory.target)
-        _scatter(model.bias, np.concatenate([w, noise]), np.concatenate([good, bad.sum(axis=0)]), memory.bias)
-        _scatter(model.context, np.concatenate([c1, c2]), np.concatenate([dq * model.place[0], dq * model.place[1]]), memory.context)
-        step = np.stack([(dq * u1).sum(axis=0), (dq * u2).sum(axis=0)])
-        memory.place += step * step
-        model.place += 0.1 * RATE * step / np.sqrt(memory.place + 1e-6)
-
-
-def train(blocks: DataFrame, classes: Classes) -> Model:
-    """Two rounds of averaged block training; every block is used in one of them."""
-    model = Model.start(classes.counts)
-    log_noise = np.log((classes.counts + 1) / (classes.counts + 1).sum()).astype(np.float32)
-    held = blocks.sparkSession.sparkContext.broadcast(classes)
-
-    def rounds(vector: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+        at = np.concatenate([c, noise.astype(np.uint16)])
+        moved = np.concatenate([np.concatenate([good[:, None] * q, bad.T @ q]), np.concatenate([good, bad.sum(axis=0)])[:, None]], axis=1)
+        # symbols, against others of their class
+        low = c.astype(np.int64) * size
+        width = np.minimum(size, n - low)
+        others = low + (random.random((WORD_NOISE, len(own))) * width).astype(np.int64)
+        log_noise = np.log(WORD_NOISE / width).astype(np.float32)
+        target = model.target[own]
+        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, target) + model.bias[own] - log_noise))
+        dq += right[:, None] * target
+        spots, steps, biases = [own], [right[:, None] * q], [right]
+        for k in range(WORD_NOISE):
+            target = model.target[others[k]]
+            wrong = -1 / (1 + np.exp(log_noise - np.einsum("ij,ij->i", q, target) - model.bias[others[k]]))
+            dq += wrong[:, None] * target
+            spots.append(others[k].astype(np.uint16))
+            steps.append(wrong[:, None] * q)
+            biases.append(wrong)
+        spots, steps = np.concatenate(spots), np.concatenate([np.concatenate(steps), np.concatenate(biases)[:, None]], axis=1)
+        _both(model, at.astype(np.int64) + n, moved, memory_target, memory_bias)
+        _both(model, spots, steps, memory_target, memory_bias)
+        _moved(model.context, past.ravel(), np.concatenate([dq * model.place[k] for k in range(CONTEXT)]), memory_context)
+        step = np.stack([np.einsum("ij,ij->j", dq, v) for v in vectors]) / len(own)
+        memory_place += step * step
+        model.place += 0.1 * RATE * step / np.sqrt(memory_place)
+
+
+def _both(model: Model, at: np.ndarray, rows: np.ndarray, memory_target: np.ndarray, memory_bias: np.ndarray) -> None:
+    """A step of target vectors and biases at once; the last column is the bias's."""
+    order = np.argsort(at, kind="stable")
+    ordered = at[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    where = ordered[first]
+    total = np.add.reduceat(rows[order], first, axis=0)
+    memory_target[where] += total[:, :-1] ** 2
+    memory_bias[where] += total[:, -1] ** 2
+    model.target[where] += RATE * total[:, :-1] / np.sqrt(memory_target[where])
+    model.bias[where] += RATE * total[:, -1] / np.sqrt(memory_bias[where])
+
+
+def changes(rows: DataFrame) -> DataFrame:
+    """``(segment, at, touches, change)`` summed over all tasks: rows of the parameter matrix, by ranges of the row."""
+    width = 2 * WIDTH + 1
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 0
+        total, touches = np.zeros((0, width), np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for at, n, change in zip(*(batch.column(c).to_pylist() for c in ("at", "touches", "change")), strict=True):
+                at = np.frombuffer(at, "<i4")
+                if len(at) and at[-1] >= size:
+                    size = int(at[-1]) + 1
+                    total, touches = np.pad(total, ((0, size - len(total)), (0, 0))), np.pad(touches, (0, size - len(touches)))
+                total[at] += np.frombuffer(change, "<i8").reshape(-1, width)
+                touches[at] += np.frombuffer(n, "<i4")
+        at = np.flatnonzero(touches).astype("<i4")
+        columns = [[key[0].as_py()], [at.tobytes()], [touches[at].astype("<i8").tobytes()], [total[at].tobytes()]]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["segment", "at", "touches", "change"])
+
+    add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return rows.groupBy("segment").applyInArrow(add, "segment long, at binary, touches binary, change binary")
+
+
+def train(blocks: DataFrame, rounds: list[int], held) -> Model:
+    """The model after all rounds; the driver holds one matrix of parameters, bounded by ``MAX_WORDS``."""
+    known: Symbols = held.value
+    counts = known.symbol_counts
+    model = Model.start(counts, known.per_class)
+    spark = blocks.sparkSession
+
+    for number in rounds:
+        start = spark.sparkContext.broadcast(model.as_matrix())  # bounded by MAX_WORDS
+
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            total = touches = None
+            known = held.value
             for batch in batches:
-                for row in _blocks(batch):
-                    kept = np.repeat([not held_out(i) for i in row["ids"]], row["sizes"])
+                for block in _blocks(batch):
+                    w, before, _ = in_context(block["codes"], block["sizes"], known)
+                    kept = np.repeat([not held_out(i) for i in block["ids"]], block["sizes"] + 1)
                     if not kept.any():
                         continue
-                    c = held.value.of(row["words"])[row["codes"]]
-                    one, two = contexts(c, row["sizes"])
-                    own = Model(len(log_noise), vector)
-                    train_block(own, c[kept], one[kept], two[kept], log_noise, row["block"])
-                    weighted = np.append(own.vector.astype(np.float64), 1) * kept.sum()
-                    total = weighted if total is None else total + weighted
+                    own = Model(len(known.symbol_counts), known.per_class, start.value)
+                    train_block(own, w[kept], before[:, kept], known.symbol_counts, block["block"])
+                    change = np.rint((own.as_matrix() - start.value) / np.float32(STEP)).astype(np.int64)
+                    if total is None:
+                        total, touches = np.zeros_like(change), np.zeros(len(change), np.int32)
+                    total += change
+                    touches += change.any(axis=1)
             if total is not None:
-                yield vector_rows(total)
-
-        return run
-
-    for k in (0, 1):
-        rows = blocks.where(F.pmod("block", F.lit(2)) == k).mapInArrow(rounds(model.vector), "segment long, v binary")
-        total = added_vectors(rows)
-        if total is not None:
-            model = Model(len(log_noise), total[:-1] / total[-1])
+                at = np.flatnonzero(touches)
+                for segment, part in enumerate(np.split(at, np.searchsorted(at, np.arange(1, SEGMENTS) * -(-len(touches) // SEGMENTS)))):
+                    if len(part):
+                        columns = [part.astype("<i4").tobytes(), touches[part].astype("<i4").tobytes(), total[part].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), *(pa.array([c], pa.binary()) for c in columns)], names=["segment", "at", "touches", "change"])
+
+        sent = blocks.where(F.col("round") == number).drop("far").mapInArrow(run, "segment long, at binary, touches binary, change binary")
+        matrix = model.as_matrix().astype(np.float64)
+        for r in changes(sent).collect():  # one row for each segment
+            at = np.frombuffer(r.at, "<i4")
+            matrix[at] += np.frombuffer(r.change, "<i8").reshape(len(at), -1) * STEP / np.frombuffer(r.touches, "<i8")[:, None]
+        model = Model(len(counts), known.per_class, matrix.astype(np.float32))
+        start.unpersist()
     return model
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
-    for row in range(batch.num_rows):
-        value = {name: batch.column(name)[row].as_py() for name in batch.schema.names}
-        if "codes" in value:
-            value["codes"] = np.frombuffer(pa.Codec("zstd").decompress(value["codes"], 4 * value["tokens"], asbytes=True), "<i4")
-        value["sizes"] = np.frombuffer(value["sizes"], "<i4").astype(np.int64)
-        value["words"] = np.frombuffer(value["words"], "<u8")
-        yield value
-
-
-def score_tables(blocks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores by first context, by second context with bias, normalisers of all contexts)."""
-    first = (model.context * model.place[0]) @ model.target.T
-    second = (model.context * model.place[1]) @ model.target.T + model.bias
-    spark = blocks.sparkSession
-    held = spark.sparkContext.broadcast((first, second))
+def scored(blocks: DataFrame, held, model) -> DataFrame:
+    """A row for each text: ``block, place, doc_id, held_out, n_tokens, n_known, base_score, score, far``; far words' counts are still to be added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = held.value
+        known, parameters = held.value, model.value
+        lm = Model(len(known.symbol_counts), known.per_class, parameters)
         for batch in batches:
-            for i in batch.column("id").to_pylist():
-                s = a[i] + b
-                top = s.max(axis=1)
-                z = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([z.astype("<f4").tobytes()])], names=["id", "z"])
-
-    rows = spark.range(0, len(first), 1, 16).mapInArrow(run, "id long, z binary").collect()  # one row for each class
-    return first, second, np.stack([np.frombuffer(r.z, "<f4") for r in sorted(rows, key=lambda r: r.id)])
+            for block in _blocks(batch):
+                codes, sizes = block["codes"], block["sizes"]
+                w, before, first = in_context(codes, sizes, known)
+                logs = lm.log_probabilities(w, before) / math.log(10)
+                n = sizes + 1
+                words = np.concatenate([[0], np.cumsum(sizes)])
+                in_text = lambda x: np.array([x[a:b].sum() for a, b in zip(words, words[1:], strict=False)])
+                base = in_text(known.log_count(codes)) + math.log10(known.end_count + 1) - n * math.log10(known.tokens + known.distinct + 1)
+                score = np.add.reduceat(logs, first) + in_text(known.word_share(codes))
+                near = codes < len(known.words)
+                far = np.frombuffer(block["far"], "<i8")
+                cuts = np.concatenate([[0], np.cumsum(~near)])[words]
+                columns = [
+                    pa.array(np.full(len(n), block["block"])), pa.array(np.arange(len(n)), pa.int64()), pa.array(block["ids"], pa.int64()), pa.array([held_out(i) for i in block["ids"]], pa.bool_()),
+                    pa.array(n), pa.array(in_text(near.astype(np.int64)).astype(np.int64) + (known.end_count > 0)), pa.array(base), pa.array(score),
+                    pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(far)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "place", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "far"])
+
+    schema = "block long, place long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, far array<long>"
+    return blocks.mapInArrow(run, schema)
+
+
+def fitted(docs: DataFrame) -> tuple[DataFrame, DataFrame, Symbols, Model]:
+    """(counts, blocks, symbols, model) of ``docs`` with the columns ``id, text``."""
+    spark = docs.sparkSession
+    counts = staged(word_counts(docs), "lm-counts")
+    known = symbols(counts)
+    held = spark.sparkContext.broadcast(known)  # bounded by NEAR_WORDS
+    path = shared_dir(spark, "lm-blocks")
+    made = blocks_of(docs, held, max(1, math.ceil(known.tokens / BLOCK_TOKENS)))
+    made.write.partitionBy("round").parquet(path)
+    blocks = spark.read.schema(made.schema).parquet(path)
+    rounds = [r["round"] for r in blocks.select("round").distinct().orderBy("round").collect()]  # grows with the logarithm of the input
+    return counts, blocks, known, train(blocks, rounds, held)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -277,48 +494,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     ``base_score``: log10 probability under the add-one unigram law; ``score``: under the model.
     """
-    spark = docs.sparkSession
-    blocks = staged(tokenised(docs), "lm-blocks")
-    counted = staged(word_counts(blocks), "lm-counts")
-    v, n = counted.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    top = counted.select(F.explode(F.arrays_zip("top_words", "top_counts")).alias("t")).select("t.*")
-    end = int(END)
-    n_end = top.where(F.col("top_words") == end).agg(F.coalesce(F.sum("top_counts"), F.lit(0))).first()[0]
-    rows = top.where(F.col("top_words") != end).orderBy(F.desc("top_counts"), "top_words").limit(VOCABULARY - 2).collect()
-    if not n_end:  # the end may be rare within its range of hashes; there is one for each training text
-        n_end = blocks.select(F.explode("ids").alias("id")).agg(F.sum(F.when(F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(7)) != 2, 1).otherwise(0))).first()[0] or 0
-    classes = Classes(np.array([r.top_words for r in rows], np.int64).view(np.uint64), np.array([n_end, *(r.top_counts for r in rows)], np.int64), n, v)
-    model = train(blocks, classes)
-    held = spark.sparkContext.broadcast((classes, *score_tables(blocks, model)))  # fixed by VOCABULARY
-
-    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        known, first, second, normal = held.value
-        out = []
-        parts = sorted(zip(right.column("part").to_pylist(), right.column("c").to_pylist(), strict=True))
-        for row in (r for batch in left.to_batches() for r in _blocks(batch)):
-            c = np.frombuffer(b"".join(_unzstd(c) for _, c in parts), "<i8")
-            codes, sizes = row["codes"], row["sizes"]
-            cuts = np.cumsum(sizes) - sizes
-            cls = known.of(row["words"])
-            log_count = np.log10(c + 1.0)
-            base = np.add.reduceat(log_count[codes], cuts) - sizes * math.log10(known.n + known.v + 1)
-            share = np.where(cls == known.other, log_count - math.log10(max(1, known.other_size)), 0.0)
-            w = cls[codes]
-            one, two = contexts(w, sizes)
-            logs = (first[one, w].astype(np.float64) + second[two, w] - normal[one, two]) / math.log(10) + share[codes]
-            out.append(pa.table({
-                "doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array([held_out(i) for i in row["ids"]]), "n_tokens": sizes,
-                "n_known": np.add.reduceat((c > 0)[codes].astype(np.int64), cuts), "train_tokens": np.full(len(sizes), known.n, np.int64),
-                "base_score": base, "score": np.add.reduceat(logs, cuts),
-            }))
-        return pa.concat_tables(out)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    texts = blocks.select("block", "ids", "sizes", "tokens", "codes", "words")
-    return texts.groupBy("block").cogroup(counted.select("block", "part", "c").groupBy("block")).applyInArrow(score, schema)
-
-
-def _unzstd(raw: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    context = docs.sparkSession.sparkContext
+    counts, blocks, known, model = fitted(docs.select(F.col("doc_id").cast("long").alias("id"), "text"))
+    rows = staged(scored(blocks, context.broadcast(known), context.broadcast(model.as_matrix())), "lm-scores")
+    # counts of far words, joined by word; sums of integers don't depend on their order
+    entries = rows.where("size(far) > 0").select("block", "place", F.explode("far").alias("h")).groupBy("block", "place", "h").agg(F.count("*").alias("k"))
+    least = int(known.counts[-1]) if len(known.counts) else 1
+    found = entries.join(counts.where(F.col("h").isNotNull() & (F.col("n") < least)), "h")
+    logs = F.round(F.log10(F.col("n") + 1) / LOG_STEP).cast("long") * F.col("k")
+    far = found.groupBy("block", "place").agg(F.sum("k").alias("far_known"), (F.sum(logs.cast("decimal(38,0)")).cast("double") * LOG_STEP).alias("far_log"))
+    joined = rows.drop("far").join(far, ["block", "place"], "left")
+    add = lambda name, more: (F.col(name) + F.coalesce(F.col(more), F.lit(0))).alias(name)
+    return joined.select("doc_id", "held_out", "n_tokens", add("n_known", "far_known"), F.lit(known.tokens).cast("long").alias("train_tokens"), add("base_score", "far_log"), add("score", "far_log"))
