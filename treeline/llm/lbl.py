@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from treeline.llm.shared import filled, shared_dir, slices, staged
 from treeline.llm.words import words
 
-MAX_WORDS, MIN_COUNT, ENDINGS, NEAR_WORDS = 65_000, 4, 256, 1 << 20
+MAX_WORDS, MIN_COUNT, ENDINGS, NEAR_WORDS = 65_000, 4, 256, 1 << 19
 WIDTH, CONTEXT = 16, 3
 CLASS_NOISE, WORD_NOISE = 32, 2
 BLOCK_TOKENS, BATCH_TOKENS, RATE, START = 1 << 21, 2048, 0.1, 0.05
@@ -52,7 +52,7 @@ LOG_STEP = 2.0**-40
 TASK_WORDS = 1 << 20
 SEGMENTS = 64
 #: Tokens that are scored at a time, and rows of one matrix product.
-SCORED_TOKENS, PRODUCT_ROWS = 1 << 17, 8192
+SCORED_TOKENS, PRODUCT_ROWS = 1 << 17, 1024
 _zstd = lambda raw: pa.Codec("zstd", 1).compress(raw, asbytes=True)
 _unzstd = lambda raw, size: pa.Codec("zstd").decompress(raw, size, asbytes=True)
 
@@ -66,12 +66,12 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) >> 8 << 8 | xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-3:]) & 255
 
 
-def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of A-Z lower-cased texts, offsets of the rows' words)."""
+def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the distinct words of A-Z lower-cased texts, the place of each word among them, offsets of the rows' words)."""
     flat, rows = words(filled(pc.ascii_lower(text.cast(pa.string()))))
     coded = flat.dictionary_encode()
     distinct = np.fromiter(map(word_hash, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return distinct[np.asarray(coded.indices)] if len(flat) else np.zeros(0, np.uint64), rows
+    return distinct, np.asarray(coded.indices) if len(flat) else np.zeros(0, np.int32), rows
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -90,8 +90,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             keep = pa.array([not held_out(i) for i in batch.column("id").to_pylist()], pa.bool_())
             for _, text in slices(batch.filter(keep), "text", 1 << 20):
-                h, n = np.unique(hashed_words(text)[0], return_counts=True)
-                held.append((h, n))
+                h, at, _ = hashed_words(text)
+                held.append((h, np.bincount(at, minlength=len(h))))
                 size, ends = size + len(h), ends + len(text)
                 if size > 2 * TASK_WORDS:
                     held = [added()]
@@ -170,15 +170,15 @@ def symbols(counts: DataFrame) -> Symbols:
 
     near, own = least_level(NEAR_WORDS, 1), least_level(MAX_WORDS, MIN_COUNT)
     leveled = words.withColumn("level", level)
-    rows = leveled.where(F.col("level") >= near).select("h", "n", "level").toPandas()  # at most NEAR_WORDS rows
-    h, n = rows["h"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
+    rows = leveled.where(F.col("level") >= near).select("h", "n", (F.col("level") >= own).alias("own")).toArrow()  # at most NEAR_WORDS rows
+    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.lexsort((h, -n))
     rest = leveled.where(F.col("level") < own).groupBy(F.col("h").bitwiseAND(F.lit(ENDINGS - 1)).alias("ending")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
     endings = np.zeros((ENDINGS, 2), np.int64)
     for r in rest:
         endings[r.ending] = r.n, r.k
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("h").isNull(), F.col("n"))), F.lit(0)), F.count("*")).first()
-    return Symbols(h[order], n[order], int((rows["level"] >= own).sum()), total[1], total[0], total[2], endings)
+    return Symbols(h[order], n[order], pc.sum(rows["own"]).as_py() or 0, total[1], total[0], total[2], endings)
 
 
 def blocks_of(docs: DataFrame, held, n_blocks: int) -> DataFrame:
@@ -190,8 +190,8 @@ def blocks_of(docs: DataFrame, held, n_blocks: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, text in slices(batch, "text", 1 << 20):
-                h, rows = hashed_words(text)
-                codes = held.value.codes(h)
+                distinct, at, rows = hashed_words(text)
+                codes, h = held.value.codes(distinct)[at], distinct[at]
                 far = codes >= len(held.value.words)
                 far_rows = np.concatenate([[0], np.cumsum(far)])[rows]
                 binary = lambda x, cuts, width: pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer((cuts * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
@@ -234,14 +234,16 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 class Model:
-    """One matrix of parameters: rows of symbols, of classes and of places; columns context vector, target vector, bias."""
+    """One matrix of parameters: rows of symbols, of classes and of places; columns context vector, target vector, bias.
+
+    ``target`` has the target vectors and biases of symbols and classes; a predicted vector has a last column of ones for them.
+    """
 
     def __init__(self, n: int, per_class: int, matrix: np.ndarray):
         self.n, self.per_class, self.classes = n, per_class, -(-n // per_class)
         self.matrix = matrix
         self.context = np.ascontiguousarray(matrix[:n, :WIDTH])
-        self.target = np.ascontiguousarray(matrix[: n + self.classes, WIDTH:-1])
-        self.bias = np.ascontiguousarray(matrix[: n + self.classes, -1])
+        self.target = np.ascontiguousarray(matrix[: n + self.classes, WIDTH:])
         self.place = np.ascontiguousarray(matrix[n + self.classes :, :WIDTH])
 
     @classmethod
@@ -257,12 +259,13 @@ class Model:
 
     def as_matrix(self) -> np.ndarray:
         out = self.matrix.copy()
-        out[: self.n, :WIDTH], out[: self.n + self.classes, WIDTH:-1] = self.context, self.target
-        out[: self.n + self.classes, -1], out[self.n + self.classes :, :WIDTH] = self.bias, self.place
+        out[: self.n, :WIDTH], out[: self.n + self.classes, WIDTH:], out[self.n + self.classes :, :WIDTH] = self.context, self.target, self.place
         return out
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.context[before[k]] * self.place[k] for k in range(CONTEXT))
+        out = np.ones((before.shape[1], WIDTH + 1), np.float32)
+        out[:, :WIDTH] = sum(self.context[before[k]] * self.place[k] for k in range(CONTEXT))
+        return out
 
     def log_probabilities(self, w: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Natural logarithm of the normalised probability of each symbol after its context."""
@@ -285,10 +288,12 @@ class Model:
 
     def _log_softmax(self, q: np.ndarray, low: int, high: int, at: np.ndarray) -> np.ndarray:
         s = q @ self.target[low:high].T
-        s += self.bias[low:high]
-        s -= s.max(axis=1)[:, None]
-        own = s[np.arange(len(s)), at].astype(np.float64)
-        return own - np.log(np.exp(s, out=s).sum(axis=1, dtype=np.float64))
+        own = s[np.arange(len(s)), at]
+        if s.max() > 60:  # beyond this exponents leave the range of 32 bits
+            top = s.max(axis=1)
+            own -= top
+            s -= top[:, None]
+        return own - np.log(np.exp(s, out=s) @ np.ones(high - low, np.float32))
 
 
 def in_context(codes: np.ndarray, sizes: np.ndarray, known: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -308,15 +313,18 @@ def in_context(codes: np.ndarray, sizes: np.ndarray, known: Symbols) -> tuple[np
     return w, before, first
 
 
-def _moved(table: np.ndarray, at: np.ndarray, rows: np.ndarray, memory: np.ndarray) -> None:
-    """An Adagrad step of the rows of ``table`` by the sums of ``rows`` with the same index."""
-    order = np.argsort(at, kind="stable")
+def _moved(table: np.ndarray, memory: np.ndarray, at: np.ndarray, order: np.ndarray, rows: np.ndarray) -> None:
+    """An Adagrad step of the rows of ``table`` by the sums of ``rows`` with the same index; ``order`` sorts ``at``, ``rows`` are in that order."""
     ordered = at[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     where = ordered[first]
-    total = np.add.reduceat(rows[order], first, axis=0)
-    memory[where] += total * total
-    table[where] += RATE * total / np.sqrt(memory[where])
+    total = np.add.reduceat(rows, first, axis=0)
+    held = memory[where]
+    held += total * total
+    memory[where] = held
+    total *= RATE
+    total /= np.sqrt(held, out=held)
+    table[where] += total
 
 
 def train_block(model: Model, w: np.ndarray, before: np.ndarray, counts: np.ndarray, seed: int) -> None:
@@ -326,57 +334,48 @@ def train_block(model: Model, w: np.ndarray, before: np.ndarray, counts: np.ndar
     total = np.add.reduceat(counts + 1.0, np.arange(0, n, size))
     law = np.cumsum(total)
     shift = np.log(CLASS_NOISE * total / law[-1]).astype(np.float32)
-    memory_context, memory_target, memory_bias = (np.full_like(x, START) for x in (model.context, model.target, model.bias))
-    memory_place = np.full_like(model.place, START)
+    classes, symbols = model.target[n:], model.target[:n]
+    memory = Model(n, size, np.full_like(model.matrix, START))
     for a in range(0, len(w), BATCH_TOKENS):
         own, past = w[a : a + BATCH_TOKENS], before[:, a : a + BATCH_TOKENS]
         c = own // np.uint16(size)
-        vectors = [model.context[past[k]] for k in range(CONTEXT)]
-        q = sum(vectors[k] * model.place[k] for k in range(CONTEXT))
+        q = model.predicted(past)
         # classes, against noise that the batch shares
-        noise = np.searchsorted(law, random.random(CLASS_NOISE) * law[-1], side="right").clip(max=model.classes - 1)
-        t, t_noise = model.target[n + c.astype(np.int64)], model.target[n + noise]
-        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) + model.bias[n + c.astype(np.int64)] - shift[c]))
-        bad = -1 / (1 + np.exp(-(q @ t_noise.T + model.bias[n + noise] - shift[noise])))
-        dq = good[:, None] * t + bad @ t_noise
-        at = np.concatenate([c, noise.astype(np.uint16)])
-        moved = np.concatenate([np.concatenate([good[:, None] * q, bad.T @ q]), np.concatenate([good, bad.sum(axis=0)])[:, None]], axis=1)
+        noise = np.searchsorted(law, random.random(CLASS_NOISE) * law[-1], side="right").clip(max=model.classes - 1).astype(np.uint16)
+        t, t_noise = classes[c], classes[noise]
+        good = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, t) - shift[c]))
+        bad = -1 / (1 + np.exp(shift[noise] - q @ t_noise.T))
+        dq = good[:, None] * t
+        dq += bad @ t_noise
+        at = np.concatenate([c, noise])
+        order = np.argsort(at, kind="stable")
+        _moved(classes, memory.target[n:], at, order, np.concatenate([good[:, None] * q, bad.T @ q])[order])
         # symbols, against others of their class
-        low = c.astype(np.int64) * size
-        width = np.minimum(size, n - low)
-        others = low + (random.random((WORD_NOISE, len(own))) * width).astype(np.int64)
-        log_noise = np.log(WORD_NOISE / width).astype(np.float32)
-        target = model.target[own]
-        right = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, target) + model.bias[own] - log_noise))
-        dq += right[:, None] * target
-        spots, steps, biases = [own], [right[:, None] * q], [right]
-        for k in range(WORD_NOISE):
-            target = model.target[others[k]]
-            wrong = -1 / (1 + np.exp(log_noise - np.einsum("ij,ij->i", q, target) - model.bias[others[k]]))
-            dq += wrong[:, None] * target
-            spots.append(others[k].astype(np.uint16))
-            steps.append(wrong[:, None] * q)
-            biases.append(wrong)
-        spots, steps = np.concatenate(spots), np.concatenate([np.concatenate(steps), np.concatenate(biases)[:, None]], axis=1)
-        _both(model, at.astype(np.int64) + n, moved, memory_target, memory_bias)
-        _both(model, spots, steps, memory_target, memory_bias)
-        _moved(model.context, past.ravel(), np.concatenate([dq * model.place[k] for k in range(CONTEXT)]), memory_context)
-        step = np.stack([np.einsum("ij,ij->j", dq, v) for v in vectors]) / len(own)
-        memory_place += step * step
-        model.place += 0.1 * RATE * step / np.sqrt(memory_place)
-
-
-def _both(model: Model, at: np.ndarray, rows: np.ndarray, memory_target: np.ndarray, memory_bias: np.ndarray) -> None:
-    """A step of target vectors and biases at once; the last column is the bias's."""
-    order = np.argsort(at, kind="stable")
-    ordered = at[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    where = ordered[first]
-    total = np.add.reduceat(rows[order], first, axis=0)
-    memory_target[where] += total[:, :-1] ** 2
-    memory_bias[where] += total[:, -1] ** 2
-    model.target[where] += RATE * total[:, :-1] / np.sqrt(memory_target[where])
-    model.bias[where] += RATE * total[:, -1] / np.sqrt(memory_bias[where])
+        low = c * np.uint16(size)
+        width = np.minimum(size, n - low.astype(np.int32))
+        others = low + (random.random((WORD_NOISE, len(own)), np.float32) * width).astype(np.uint16)
+        np.minimum(others, (low + (width - 1).astype(np.uint16)), out=others)
+        log_noise = np.log(np.float32(WORD_NOISE) / width, dtype=np.float32)
+        at = np.concatenate([own, others.ravel()])
+        target = symbols[at].reshape(1 + WORD_NOISE, len(own), WIDTH + 1)
+        odds = np.einsum("ij,kij->ki", q, target)
+        odds -= log_noise
+        np.exp(odds, out=odds)
+        odds += 1
+        np.reciprocal(odds, out=odds)  # 1 - probability that it is no noise
+        odds[1:] -= 1
+        dq += np.einsum("ki,kij->ij", odds, target)
+        order = np.argsort(at, kind="stable")
+        _moved(symbols, memory.target[:n], at, order, odds.ravel()[order][:, None] * q[order % len(own)])
+        # contexts
+        step = np.stack([np.einsum("ij,ij->j", dq[:, :WIDTH], model.context[past[k]]) for k in range(CONTEXT)]) / len(own)
+        at = past.ravel()
+        order = np.argsort(at, kind="stable")
+        rows = dq[order % len(own), :WIDTH]
+        rows *= model.place[order // len(own)]
+        _moved(model.context, memory.context, at, order, rows)
+        memory.place += step * step
+        model.place += 0.1 * RATE * step / np.sqrt(memory.place)
 
 
 def changes(rows: DataFrame) -> DataFrame:
