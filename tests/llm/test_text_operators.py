@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,17 +265,18 @@ def test_scores_recomputed_in_plain_python(spark, spoken, monkeypatch):
     assert known.modelled == 20 and 20 < len(known.words) <= 60 < counts.count()
     c = collections.Counter(x for i, t, _ in spoken if not is_held(i) for x in spoken_tokens(t))
     own = set(known.words[: known.modelled].tolist())
-    ending = lambda w: lbl.word_hash(w.encode()) & 255
+    hash_of = lambda w: int(lbl.hash_words(pa.array([w.encode()], pa.binary()))[0])
+    ending = lambda w: hash_of(w) % lbl.ENDINGS
     rare = collections.Counter()
     for w, k in c.items():
-        if w is not None and lbl.word_hash(w.encode()) not in own:
+        if w is not None and hash_of(w) not in own:
             rare[ending(w)] += k + 1
     place = {int(h): int(s) for h, s in zip(known.words[: known.modelled], known.symbol_of, strict=False)}
 
     def symbol(w):
         if w is None:
             return known.end
-        return place.get(lbl.word_hash(w.encode()), int(known.symbol_of[len(known.words) + ending(w)]))
+        return place.get(hash_of(w), int(known.symbol_of[len(known.words) + ending(w)]))
 
     m, classes = model.matrix.astype(float), model.classes
     target, bias, n = m[:, lbl.WIDTH : -1], m[:, -1], model.n
@@ -294,7 +296,7 @@ def test_scores_recomputed_in_plain_python(spark, spoken, monkeypatch):
             q = sum(m[past[k], : lbl.WIDTH] * m[n + classes + k, : lbl.WIDTH] for k in range(lbl.CONTEXT))
             k = s // model.per_class
             want += (log_softmax(q, n, n + classes, n + k) + log_softmax(q, k * model.per_class, min(n, (k + 1) * model.per_class), s)) / math.log(10)
-            if w is not None and lbl.word_hash(w.encode()) not in own:
+            if w is not None and hash_of(w) not in own:
                 want += math.log10((c[w] + 1) / (rare[ending(w)] + 1))
             past = [s, *past[:-1]]
         assert abs(want - score) < 1e-3 * max(1, abs(want))

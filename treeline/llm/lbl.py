@@ -33,17 +33,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import filled, shared_dir, slices, staged
+from treeline.llm.shared import filled, flat, mix, shared_dir, slices, staged
 from treeline.llm.words import words
 
-MAX_WORDS, MIN_COUNT, ENDINGS, NEAR_WORDS = 65_000, 4, 256, 1 << 19
+MAX_WORDS, MIN_COUNT, ENDINGS, NEAR_WORDS = 40_000, 4, 256, 1 << 19
 WIDTH, CONTEXT = 16, 3
 CLASS_NOISE, WORD_NOISE = 32, 2
-BLOCK_TOKENS, BATCH_TOKENS, RATE, START = 1 << 21, 2048, 0.1, 0.05
+BLOCK_TOKENS, BATCH_TOKENS, RATE, START = 1 << 21, 3072, 0.1, 0.05
 #: Changes of parameters are summed in steps of this.
 STEP = 2.0**-20
 #: Logarithms of counts that come from joins are summed in steps of this.
@@ -51,6 +50,8 @@ LOG_STEP = 2.0**-40
 #: Distinct words that a task counts before it sends them on.
 TASK_WORDS = 1 << 20
 SEGMENTS = 64
+#: Bytes of text that are split into words at a time.
+SLICE = 4 << 20
 #: Tokens that are scored at a time, and rows of one matrix product.
 SCORED_TOKENS, PRODUCT_ROWS = 1 << 17, 1024
 _zstd = lambda raw: pa.Codec("zstd", 1).compress(raw, asbytes=True)
@@ -61,17 +62,49 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
 
-def word_hash(word: bytes) -> int:
-    """The hash of a word; the lowest byte tells its ending (three bytes before closing punctuation)."""
-    return xxhash.xxh3_64_intdigest(word) >> 8 << 8 | xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-3:]) & 255
+def endings(words: pa.Array) -> np.ndarray:
+    """A hash below ``ENDINGS`` of the last three bytes of each word before at most three bytes of closing punctuation."""
+    data, offsets = flat(words)
+    start, end = offsets[:-1], offsets[1:].copy()
+    closing = np.isin(np.arange(256), list(b".,;:!?"))
+    for _ in range(3):
+        end -= (end - start > 1) & closing[data[np.maximum(end - 1, 0)]] if len(data) else 0
+    tail = np.zeros(len(words), np.uint64)
+    for k in range(1, 4):
+        tail = tail * np.uint64(256) + np.where(end - k >= start, data[np.maximum(end - k, 0)], 0).astype(np.uint64) if len(data) else tail
+    return mix(tail) % np.uint64(ENDINGS)
+
+
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+def hash_words(words: pa.Array, step: int = 1 << 16) -> np.ndarray:
+    """64-bit hashes of words, polynomials of their bytes from running sums; the lowest byte tells the ending."""
+    out = np.empty(len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(words), step):
+            data, cuts = flat(words.slice(a, step))
+            up, down = _powers(_BASE, len(data)), _powers(_INVERSE, len(data))
+            running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[:-1])])
+            found = (running[cuts[1:]] - running[cuts[:-1]]) * down[cuts[:-1]]
+            out[a : a + step] = mix(found) // np.uint64(ENDINGS) * np.uint64(ENDINGS) + endings(words.slice(a, step))
+    return out
 
 
 def hashed_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of the distinct words of A-Z lower-cased texts, the place of each word among them, offsets of the rows' words)."""
-    flat, rows = words(filled(pc.ascii_lower(text.cast(pa.string()))))
-    coded = flat.dictionary_encode()
-    distinct = np.fromiter(map(word_hash, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    return distinct, np.asarray(coded.indices) if len(flat) else np.zeros(0, np.int32), rows
+    found, rows = words(filled(pc.ascii_lower(text.cast(pa.string()))))
+    if not len(found):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), rows
+    coded = found.dictionary_encode()
+    return hash_words(coded.dictionary.cast(pa.binary())), np.asarray(coded.indices), rows
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -89,7 +122,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             keep = pa.array([not held_out(i) for i in batch.column("id").to_pylist()], pa.bool_())
-            for _, text in slices(batch.filter(keep), "text", 1 << 20):
+            for _, text in slices(batch.filter(keep), "text", SLICE):
                 h, at, _ = hashed_words(text)
                 held.append((h, np.bincount(at, minlength=len(h))))
                 size, ends = size + len(h), ends + len(text)
@@ -189,7 +222,7 @@ def blocks_of(docs: DataFrame, held, n_blocks: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text in slices(batch, "text", 1 << 20):
+            for part, text in slices(batch, "text", SLICE):
                 distinct, at, rows = hashed_words(text)
                 codes, h = held.value.codes(distinct)[at], distinct[at]
                 far = codes >= len(held.value.words)
