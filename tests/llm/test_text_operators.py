@@ -158,6 +158,46 @@ def test_large_bucket_led_by_strangers(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in got.collect()} == want
 
 
+def test_rarest_shingles_of_similar_texts_meet():
+    r = np.random.default_rng(5)
+    sketch = r.choice([1.0, 1.3, 1.7, 2.0], near_dedup.SKETCH_ROWS << 8).astype(np.float32)
+    base = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        own = np.unique(np.concatenate([base[r.random(40) < r.uniform(0.8, 1)], r.integers(0, 1 << 63, r.integers(0, 6), dtype=np.uint64)]))
+        sets.append((own, (1 + (own % 7 == 0) * r.integers(0, 2, len(own))) * near_dedup.idf(own, sketch)))
+    rows = np.concatenate([[0], np.cumsum([len(s) for s, _ in sets])])
+    s, w = np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets])
+    at = near_dedup.rarest(s, w, near_dedup.idf(s, sketch), rows, 0.8)
+    first = [set(s[at[(at >= a) & (at < b)]].tolist()) for a, b in itertools.pairwise(rows)]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near_dedup.similarity(sets[i], sets[j]) >= 0.8]
+    assert alike and all(first[i] & first[j] for i, j in alike)
+    assert np.mean([len(f) / len(x) for f, (x, _) in zip(first, sets, strict=True)]) < 0.4
+
+
+def test_strangers_of_one_bucket_are_not_compared(spark, monkeypatch):
+    boiler = prose(90, 3)
+    texts = {k: f"{boiler} {prose(70, 40_000 + k)}" for k in range(300)} | {900: f"{boiler} {prose(70, 40_007)} end", 901: None}
+    compared = []
+    check = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: (compared.append(pairs.count()), check(pairs, *rest))[1])
+    monkeypatch.setattr(near_dedup, "signatures", lambda docs, sketch: docs.select("doc", F.unhex(F.md5("text")).alias("copy"), F.when(F.col("text").isNotNull(), F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("bands")))
+    got = near_dedup.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: 7 if k == 900 else k for k in texts}
+    assert sum(compared) < 1000  # of 45,150 pairs
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("7", "same words"), ("x", "same words"), (None, "same words"), ("9", "same words")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.class_id) for r in near_dedup.near_duplicate_classes(docs).collect()) == [("7", 7), ("9", 7), ("None", None), ("x", None)]
+
+
+def test_repeated_id_with_other_texts_keeps_a_defined_row(spark):
+    docs = spark.createDataFrame([(1, prose(30, k)) for k in range(5)] + [(2, prose(40, 9))], "doc_id long, text string")
+    kept = {tuple(sorted((r.doc_id, r.text) for r in near_dedup.one_of_each_class(docs.repartition(n)).collect())) for n in (1, 3)}
+    assert len(kept) == 1 and [i for i, _ in kept.pop()] == [1, 2]
+
+
 def test_samples_agree_with_the_similarity():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 63, 600, dtype=np.uint64)

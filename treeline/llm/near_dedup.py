@@ -1,25 +1,30 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles.
 
-1. Five-word shingles of whole texts are hashed; their corpus frequency is counted in
-   ``DF_BUCKETS`` hash buckets over all documents.  A shingle weighs its count in the text
-   times ``1 + ln(T / n) / ln T`` (``n``: its bucket's count, ``T``: all counts), between 1 and 2
+1. Five-word shingles of whole texts are hashed; their corpus frequency is estimated over all documents
+   from ``SKETCH_ROWS`` rows of ``SKETCH_WIDTH`` counters: the least of a shingle's counters, each less the
+   mean of the row's others.  Frequent shingles so have their frequency and all rare ones about the same
+   small one, whatever the input's size.  A shingle weighs its count in the text times
+   ``1 + ln(T / n) / ln T`` (``n``: its frequency, ``T``: all counts), between 1 and 2
    for one occurrence, so very common passages weigh least.
 2. Improved consistent weighted sampling (Ioffe, 2010) draws ``BANDS * ROWS`` samples for each
    text; two texts agree in one with the probability of their weighted Jaccard
    similarity.  ``ROWS`` samples make a band.  Equal texts collapse to their least id first.
 3. Texts that agree in a band are candidates; each candidate is verified by the exact
    weighted Jaccard similarity of the two texts.  In a bucket, however large, one member is first
-   held against each other one, and verified links are joined to components.  While a bucket
-   holds several components, 4, 16, 64 .. further members take their turns against all members of
-   other components, until any two members have met or share a component.  So texts that
-   are alike cost little; a bucket of strangers is compared in full, whatever its size.
-4. A document's class is the least id of its component.
+   held against each other one (in one of at most ``SMALL`` members each), and verified links are joined to components.
+4. A larger bucket that still holds several components is split without loss: texts with a similarity of the threshold
+   share one of the rarest shingles that make up the rest of their weight (a prefix filter, Chaudhuri et al., 2006),
+   so only members that share such a shingle still have to meet.  In these groups 1, 4, 16 .. members
+   take turns against all members of other components, until any two have met or share a component.
+   So strangers that share a frequent passage are told apart without being compared.
+5. A document's class is the least id of its component.
 
 Finding a pair is probabilistic: at a similarity of 0.8 a band agrees with a probability of 0.33
 and one of all bands with 0.998; at 0.9 with over 0.9999.
 
 Null and wordless texts are classes of their own; a text under five words has one
-shingle; repeated ids share one class; rows with a null id have a null class.
+shingle; repeated ids share one class (of several texts of an id that agree with others in a band, the least is
+compared); ids are cast to long, and rows whose id is null or no number have a null class.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ from treeline.llm.words import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 5
 THRESHOLD = 0.8
-DF_BUCKETS = 1 << 18
+SKETCH_ROWS, SKETCH_WIDTH = 3, 1 << 18
+#: Members of a bucket that are all held against each other at once.
 SMALL = 16
 #: Leaders of a bucket in one round (under Spark's limit for a group limit below the shuffle).
 MOST_LEADERS = 512
@@ -71,8 +77,19 @@ def counted(shingles: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
     return s[at], np.diff(np.append(at, len(s))), np.searchsorted(o[at], np.arange(len(rows)))
 
 
-def weights(shingles: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return counts * idf[(shingles & np.uint64(len(idf) - 1)).astype(np.int64)]
+def counters(shingles: np.ndarray, width: int = SKETCH_WIDTH) -> np.ndarray:
+    """The counter of each shingle in each row, as places in one table."""
+    bits = np.uint64(width - 1)
+    return np.stack([((shingles >> np.uint64(20 * row)) & bits).astype(np.int64) + row * width for row in range(SKETCH_ROWS)])
+
+
+def idf(shingles: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The weight of one occurrence; ``sketch`` has that of each counter, the largest is that of the least count."""
+    return sketch[counters(shingles, len(sketch) // SKETCH_ROWS)].max(axis=0)
+
+
+def weights(shingles: np.ndarray, counts: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return counts * idf(shingles, sketch)
 
 
 def samples(shingles: np.ndarray, log_weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -98,38 +115,40 @@ def samples(shingles: np.ndarray, log_weight: np.ndarray, rows: np.ndarray) -> n
 
 
 def idf_table(docs: DataFrame) -> np.ndarray:
-    """The weight of one occurrence for each frequency bucket, counted over all documents.
+    """The weight of one occurrence for each counter, counted over all documents.
 
-    A task sends one dense vector (fixed size, in segments); the result has ``DF_BUCKETS`` numbers.
+    A task sends one dense vector (fixed size, in segments); the result has ``SKETCH_ROWS * SKETCH_WIDTH`` numbers.
     """
-    segments = 64
-    width = DF_BUCKETS // segments
+    segments, size = 64, SKETCH_ROWS * SKETCH_WIDTH
+    width = size // segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DF_BUCKETS, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for _, text in slices(batch, "text"):
                 shingles, _ = shingle_hashes(*word_hashes(text))
-                total += np.bincount((shingles & np.uint64(DF_BUCKETS - 1)).astype(np.int64), minlength=DF_BUCKETS)
+                total += np.bincount(counters(shingles).ravel(), minlength=size)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(segments)), pa.array([total[i * width : (i + 1) * width].astype("<i4").tobytes() for i in range(segments)])], names=["segment", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(segments)), pa.array([total[i * width : (i + 1) * width].astype("<i8").tobytes() for i in range(segments)])], names=["segment", "n"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, np.int64)
         for batch in batches:
             for raw in batch.column("n").to_pylist():
-                total += np.frombuffer(raw, "<i4" if len(raw) == 4 * width else "<i8")
+                total += np.frombuffer(raw, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([total.astype("<i8").tobytes()])], names=["segment", "n"])
 
     parts = docs.select("text").mapInArrow(run, "segment long, n binary").groupBy("segment").applyInArrow(add, "segment long, n binary").collect()
-    counts = np.zeros(DF_BUCKETS)
+    counts = np.zeros(size)
     for p in parts:
         counts[p.segment * width : (p.segment + 1) * width] = np.frombuffer(p.n, "<i8")
-    total = max(3.0, counts.sum())
-    return (1 + np.log(total / np.maximum(counts, 1)) / np.log(total)).astype(np.float32)
+    occurrences = counts.sum() / SKETCH_ROWS
+    total = max(3.0, occurrences)
+    others = (occurrences - counts) / (SKETCH_WIDTH - 1)
+    return (1 + np.log(total / np.maximum(counts - others, 1)) / np.log(total)).astype(np.float32)
 
 
-def signatures(docs: DataFrame, idf) -> DataFrame:
+def signatures(docs: DataFrame, sketch) -> DataFrame:
     """``(doc, copy, bands)``: id, hash of the text and one hash for each band (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +158,7 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 has = np.diff(rows) > 0
                 bands = np.zeros((len(text), BANDS), np.uint64)
                 if has.any():
-                    log_weight = np.log(weights(s, n, idf.value))
+                    log_weight = np.log(weights(s, n, sketch.value))
                     drawn = samples(s, log_weight, np.append(rows[:-1][has], len(s)))
                     with np.errstate(over="ignore"):
                         mixed = np.zeros((len(drawn), BANDS), np.uint64)
@@ -176,14 +195,14 @@ def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose weighted Jaccard similarity is at least ``threshold``.
+def verified(pairs: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` of ``a, b, n`` whose weighted Jaccard similarity is at least ``threshold``.
 
-    A leader ``a`` meets its partners in groups of bounded expected size: rows are sorted
+    A leader ``a`` meets its partners (about ``n`` of them) in groups of bounded expected size: rows are sorted
     by (leader, group) with the leader's text first, and compared as they stream by.
     """
     share = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)))
-    sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", share.alias("part"))
+    sized = pairs.select("a", "b", share.alias("part"))
     leaders = sized.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     members = sized.join(texts, F.col("b") == F.col("doc")).select("a", "part", "b", "text")
     rows = leaders.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -193,7 +212,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
         for batch in batches:
             for part, text in slices(batch, "text"):
                 s, n, cuts = counted(*shingle_hashes(*word_hashes(text)))
-                w = weights(s, n, idf.value)
+                w = weights(s, n, sketch.value)
                 out_a, out_b, score = [], [], []
                 for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)):
                     own = s[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]
@@ -221,71 +240,123 @@ def similarity(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.
     return low / (float(v.sum(dtype=np.float64)) + float(w.sum(dtype=np.float64)) - low)
 
 
+def rarest(shingles: np.ndarray, weight: np.ndarray, rarity: np.ndarray, rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Places of each row's rarest shingles, until what is left weighs less than ``threshold`` of the row.
+
+    Two rows whose least common shingle, in the order of falling ``rarity`` and then of the hash, is among
+    neither's places have less than ``threshold`` of the heavier one's weight in common, and so a lower similarity.
+    """
+    owner = np.repeat(np.arange(len(rows) - 1, dtype=np.int64), np.diff(rows))
+    order = np.lexsort((shingles, -rarity, owner))
+    value = weight[order].astype(np.float64)
+    before = np.concatenate([[0.0], np.cumsum(value)])
+    total = before[rows[1:]] - before[rows[:-1]]
+    passed = before[:-1] - np.repeat(before[rows[:-1]], np.diff(rows))
+    return order[passed <= np.repeat(total, np.diff(rows)) * (1 - threshold + 1e-6)]
+
+
+def split(docs: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFrame:
+    """``(bucket, doc)``: the documents ``doc`` of ``docs`` by their rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, text in slices(batch, "text"):
+                s, n, rows = counted(*shingle_hashes(*word_hashes(text)))
+                at = np.sort(rarest(s, weights(s, n, sketch.value), idf(s, sketch.value), rows, threshold))
+                doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), np.diff(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(doc[at])], names=["bucket", "doc"])
+
+    return _shared(texts.join(docs, "doc", "left_semi").mapInArrow(run, "bucket long, doc long"))
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """The rows of ``(bucket, doc)`` whose bucket has others."""
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return members.join(shared, "bucket")
+
+
+def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``(bucket, doc, root)``: members with the least id of their component so far."""
+    if roots is None:
+        return members.withColumn("root", F.col("doc"))
+    return members.join(roots, members["doc"] == roots["node"], "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """``(bucket, doc, root, size, n)`` of the buckets that hold several components; ``size``: of the component, ``n``: of the bucket."""
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    several = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("k")).where("k > 1").select("bucket", "n")
+    return members.join(several, "bucket").join(parts, ["bucket", "root"])
+
+
 def _turns(members: DataFrame, lead: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``(a, b)`` of this round, the members that have not led yet), ``members`` having ``bucket, doc, root``.
+    """(pairs ``(a, b, n)`` of this round, the members that have not led yet), ``members`` having ``bucket, doc, root``.
 
     In each bucket that holds several components, ``lead`` members (those of its smallest components
     first) meet all members of other components; where at most ``SMALL`` members are left each leads.
     Who has led has met every member that is left or shares its component, and goes.  A bucket's leaders are
     found by a group limit below the shuffle, so a bucket of any size is spread over tasks.
     """
-    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    several = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("k")).where("k > 1").select("bucket", "n")
-    waiting = staged(members.join(several, "bucket").join(parts, ["bucket", "root"]), "waiting")
+    waiting = staged(_several(members), "waiting")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "doc"))
     first = waiting.where(f"n > {SMALL}").withColumn("place", place).where(F.col("place") <= lead)
     leaders = staged(waiting.where(f"n <= {SMALL}").select("bucket", "doc", "root").unionByName(first.select("bucket", "doc", "root")), "leaders")
     marked = waiting.join(leaders.select("bucket", "doc", F.lit(True).alias("leads")), ["bucket", "doc"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    other = marked.select("bucket", F.col("doc").alias("b"), F.col("root").alias("root_b"), "leads")
-    pairs = leaders.withColumnRenamed("doc", "a").join(other, "bucket").where("root <> root_b and (a < b or not leads)").select("a", "b").distinct()
-    return pairs, marked.where("not leads").select("bucket", "doc")
+    other = marked.select("bucket", F.col("doc").alias("b"), F.col("root").alias("root_b"), "leads", "n")
+    pairs = leaders.withColumnRenamed("doc", "a").join(other, "bucket").where("root <> root_b and (a < b or not leads)")
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n")), marked.where("not leads").select("bucket", "doc")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id_column, class_id`` for every row of ``docs``."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
-    idf = spark.sparkContext.broadcast(idf_table(plain))  # DF_BUCKETS numbers
-    signed = staged(signatures(plain.where("doc is not null"), idf), "signatures")
+    plain = docs.select(F.col(id_column).try_cast("long").alias("doc"), F.col(text_column).alias("text"))
+    sketch = spark.sparkContext.broadcast(idf_table(plain))  # a sketch of fixed size
+    signed = staged(signatures(plain.where("doc is not null"), sketch), "signatures")
     alike = signed.where("size(bands) > 0").groupBy("copy").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("n"))
     alike = staged(alike, "copies")
     band = alike.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("rep").alias("doc"))
-    shared = band.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = staged(band.join(shared, "bucket"), "buckets")
+    members = staged(_shared(band), "buckets")
     wanted = members.select("doc").distinct()
-    texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").dropDuplicates(["doc"])
+    texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     texts = staged(texts, "candidate-texts")
     links = tried = roots = None
-    lead = 1
+    lead, whole = 1, True
     while True:
-        rooted = members.withColumn("root", F.col("doc")) if roots is None else members.join(roots, members["doc"] == roots["node"], "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
-        pairs, members = _turns(rooted, lead)
-        members = staged(members, "buckets")
+        pairs, members = _turns(_rooted(members, roots), lead)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
-        found = staged(verified(pairs, texts, idf, threshold).select("a", "b"), "links")
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        members = staged(members, "buckets")
+        found = staged(verified(pairs, texts, sketch, threshold).select("a", "b"), "links")
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.unionByName(both)
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = staged(components(links), "roots")
+        if whole:  # what one leader in each bucket did not settle
+            left = staged(_several(_rooted(members, roots)).select("doc").distinct(), "unsettled")
+            members = members.limit(0) if left.isEmpty() else staged(split(left, texts, sketch, threshold), "buckets")
+            whole = False
+        else:
+            lead = min(4 * lead, MOST_LEADERS)
         if members.isEmpty():
             break
-        lead = min(4 * lead, MOST_LEADERS)
     of_rep = alike.select("copy", "rep")
     if roots is not None:
         of_rep = of_rep.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
     else:
         of_rep = of_rep.withColumnRenamed("rep", "class_id")
     classes = signed.where("size(bands) > 0").select("doc", "copy").join(of_rep, "copy").groupBy("doc").agg(F.min("class_id").alias("class_id"))
-    out = docs.select(F.col(id_column).alias("id"), F.col(id_column).cast("long").alias("doc")).join(classes, "doc", "left")
+    out = docs.select(F.col(id_column).alias("id"), F.col(id_column).try_cast("long").alias("doc")).join(classes, "doc", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "doc").alias("class_id"))
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose id is that of their class; rows with a null id stay, repeated rows of a kept id give one."""
+    """The rows of ``docs`` whose id is that of their class; rows with a null id stay, of repeated rows of a kept id that with the least hash."""
     kept = near_duplicate_classes(docs, threshold).where("doc_id is not null and doc_id <> class_id").select("doc_id").distinct()
     rest = docs.join(kept, "doc_id", "left_anti")
     apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))
-    return rest.withColumn("_apart", apart).dropDuplicates(["doc_id", "_apart"]).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    once = rest.select("doc_id", apart.alias("_apart"), row.alias("_row")).groupBy("doc_id", "_apart").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.select("_row.*")
