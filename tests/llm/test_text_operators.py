@@ -179,8 +179,9 @@ def test_strangers_of_one_bucket_are_not_compared(spark, monkeypatch):
     boiler = prose(90, 3)
     texts = {k: f"{boiler} {prose(70, 40_000 + k)}" for k in range(300)} | {900: f"{boiler} {prose(70, 40_007)} end", 901: None}
     compared = []
-    check = near_dedup.verified
-    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: (compared.append(pairs.count()), check(pairs, *rest))[1])
+    for name in ("verified", "settled"):
+        check = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda rows, *rest, check=check: (compared.append(rows.count()), check(rows, *rest))[1])
     monkeypatch.setattr(near_dedup, "signatures", lambda docs, sketch: docs.select("doc", F.unhex(F.md5("text")).alias("copy"), F.when(F.col("text").isNotNull(), F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("bands")))
     got = near_dedup.near_duplicate_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == {k: 7 if k == 900 else k for k in texts}

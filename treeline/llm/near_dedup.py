@@ -10,13 +10,14 @@
    text; two texts agree in one with the probability of their weighted Jaccard
    similarity.  ``ROWS`` samples make a band.  Equal texts collapse to their least id first.
 3. Texts that agree in a band are candidates; each candidate is verified by the exact
-   weighted Jaccard similarity of the two texts.  In a bucket, however large, one member is first
+   weighted Jaccard similarity of the two texts.  In a bucket, however large, the least member is
    held against each other one (in one of at most ``SMALL`` members each), and verified links are joined to components.
 4. A larger bucket that still holds several components is split without loss: texts with a similarity of the threshold
    share one of the rarest shingles that make up the rest of their weight (a prefix filter, Chaudhuri et al., 2006),
-   so only members that share such a shingle still have to meet.  In these groups 1, 4, 16 .. members
-   take turns against all members of other components, until any two have met or share a component.
-   So strangers that share a frequent passage are told apart without being compared.
+   so only members that share such a shingle still have to meet.  In each of these groups the members outside its largest
+   component are held in blocks (an index from shingles to members) against all its members, streamed by in slices;
+   nothing is emitted but links that join components.  Strangers that share a frequent passage
+   are so told apart without being compared, and members that are nearly alike without a row for each pair.
 5. A document's class is the least id of its component.
 
 Finding a pair is probabilistic: at a similarity of 0.8 a band agrees with a probability of 0.33
@@ -34,11 +35,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import components
-from treeline.llm.shared import mix, slices, staged
+from treeline.llm.shared import mix, ragged, slices, staged
 from treeline.llm.words import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 5
@@ -46,8 +47,8 @@ THRESHOLD = 0.8
 SKETCH_ROWS, SKETCH_WIDTH = 3, 1 << 18
 #: Members of a bucket that are all held against each other at once.
 SMALL = 16
-#: Leaders of a bucket in one round (under Spark's limit for a group limit below the shuffle).
-MOST_LEADERS = 512
+#: Bytes of text that a task holds of a group, and members of the group that stream by it, both about.
+BLOCK_BYTES, SLICE_ROWS = 2 << 20, 4096
 #: A leader's candidates are verified in groups of about this many.
 GROUP = 64
 #: Places of the bitmap that thins texts out before they are shuffled (2 MiB; a prime).
@@ -289,22 +290,95 @@ def _several(members: DataFrame) -> DataFrame:
     return members.join(several, "bucket").join(parts, ["bucket", "root"])
 
 
-def _turns(members: DataFrame, lead: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs ``(a, b, n)`` of this round, the members that have not led yet), ``members`` having ``bucket, doc, root``.
+def _first_meetings(members: DataFrame) -> DataFrame:
+    """``(a, b, n)``: the least member of each bucket with all others; in a bucket of at most ``SMALL`` all with all."""
+    sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
+    placed = members.join(sized, "bucket")
+    led = placed.where(f"n > {SMALL} and doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), "n")
+    small = placed.where(f"n <= {SMALL}").select("bucket", F.col("doc").alias("b"), "n")
+    pairs = small.select("bucket", F.col("b").alias("a")).join(small, "bucket").where("a < b").select("a", "b", "n")
+    return led.unionByName(pairs).groupBy("a", "b").agg(F.max("n").alias("n"))
 
-    In each bucket that holds several components, ``lead`` members (those of its smallest components
-    first) meet all members of other components; where at most ``SMALL`` members are left each leads.
-    Who has led has met every member that is left or shares its component, and goes.  A bucket's leaders are
-    found by a group limit below the shuffle, so a bucket of any size is spread over tasks.
+
+def settled(groups: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFrame:
+    """Links ``(a, b)`` that join the components of each group of ``(bucket, doc, root)``, exactly.
+
+    A group's members outside its largest component are dealt into blocks of about ``BLOCK_BYTES`` of text, all its
+    members into slices of about ``SLICE_ROWS``; a task holds a block and compares it with a slice as it streams by.
     """
-    waiting = staged(_several(members), "waiting")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("size", "doc"))
-    first = waiting.where(f"n > {SMALL}").withColumn("place", place).where(F.col("place") <= lead)
-    leaders = staged(waiting.where(f"n <= {SMALL}").select("bucket", "doc", "root").unionByName(first.select("bucket", "doc", "root")), "leaders")
-    marked = waiting.join(leaders.select("bucket", "doc", F.lit(True).alias("leads")), ["bucket", "doc"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    other = marked.select("bucket", F.col("doc").alias("b"), F.col("root").alias("root_b"), "leads", "n")
-    pairs = leaders.withColumnRenamed("doc", "a").join(other, "bucket").where("root <> root_b and (a < b or not leads)")
-    return pairs.groupBy("a", "b").agg(F.max("n").alias("n")), marked.where("not leads").select("bucket", "doc")
+    several = staged(_several(groups), "groups")
+    largest = several.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("largest"))
+    sized = several.join(largest, "bucket").join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
+    cut = sized.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("largest"), F.col("bytes"))) / BLOCK_BYTES).alias("blocks"), F.ceil(F.max("n") / SLICE_ROWS).alias("slices"))
+    placed = sized.join(cut, "bucket")
+    dealt = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).alias(k[:-1])
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(k[:-1])
+    held = placed.where("root <> largest").select("bucket", dealt("blocks"), each("slices"), F.lit(0).alias("side"), "doc", "root")
+    passing = placed.select("bucket", each("blocks"), dealt("slices"), F.lit(1).alias("side"), "doc", "root")
+    rows = held.unionByName(passing).join(texts, "doc").select("bucket", "block", "slice", "side", "doc", "root", "text")
+    rows = rows.repartition("bucket", "block", "slice").sortWithinPartitions("bucket", "block", "slice", "side", "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, Block()
+        for batch in batches:
+            for part, text in slices(batch, "text"):
+                s, n, cuts = counted(*shingle_hashes(*word_hashes(text)))
+                w = weights(s, n, sketch.value)
+                links = []
+                for i, (bucket, number, piece, side, doc, root) in enumerate(zip(*(part.column(c).to_pylist() for c in ("bucket", "block", "slice", "side", "doc", "root")), strict=True)):
+                    if (bucket, number, piece) != now:
+                        now, block = (bucket, number, piece), Block()
+                    own = s[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]
+                    if side == 0:
+                        block.hold(doc, root, *own)
+                    else:
+                        links += [(a, doc) for a in block.links(root, *own, threshold)]
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+class Block:
+    """Texts of a group as an index from shingles to texts, and the components that their links have joined so far."""
+
+    def __init__(self):
+        self.docs, self.roots, self.sets, self.index, self.parent = [], [], [], None, {}
+
+    def hold(self, doc: int, root: int, shingles: np.ndarray, weight: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.roots.append(root)
+        self.sets.append((shingles, weight.astype(np.float64)))
+
+    def _indexed(self) -> tuple[np.ndarray, ...]:
+        if self.index is None:
+            s, w = (np.concatenate(x) for x in zip(*self.sets, strict=True))
+            owner = np.repeat(np.arange(len(self.sets)), [len(x) for x, _ in self.sets])
+            order = np.argsort(s, kind="stable")
+            self.index = s[order], w[order], owner[order], np.array([x.sum() for _, x in self.sets])
+            self.sets = []
+        return self.index
+
+    def _root(self, x: int) -> int:
+        while self.parent.get(x, x) != x:
+            x = self.parent[x]
+        return x
+
+    def links(self, root: int, shingles: np.ndarray, weight: np.ndarray, threshold: float) -> list[int]:
+        """The held texts that are alike a text of component ``root`` and join it to another component."""
+        if not self.docs:
+            return []
+        s, w, owner, total = self._indexed()
+        low = np.searchsorted(s, shingles, side="left")
+        size = np.searchsorted(s, shingles, side="right") - low
+        at, weight = ragged(low, size), weight.astype(np.float64)
+        common = np.bincount(owner[at], weights=np.minimum(w[at], np.repeat(weight, size)), minlength=len(total))
+        found = []
+        for k in np.flatnonzero(common >= threshold * (total + weight.sum() - common)):
+            a, b = self._root(self.roots[k]), self._root(root)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                found.append(self.docs[k])
+        return found
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -320,28 +394,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     wanted = members.select("doc").distinct()
     texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
     texts = staged(texts, "candidate-texts")
-    links = tried = roots = None
-    lead, whole = 1, True
-    while True:
-        pairs, members = _turns(_rooted(members, roots), lead)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        members = staged(members, "buckets")
-        found = staged(verified(pairs, texts, sketch, threshold).select("a", "b"), "links")
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.unionByName(both)
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            roots = staged(components(links), "roots")
-        if whole:  # what one leader in each bucket did not settle
-            left = staged(_several(_rooted(members, roots)).select("doc").distinct(), "unsettled")
-            members = members.limit(0) if left.isEmpty() else staged(split(left, texts, sketch, threshold), "buckets")
-            whole = False
-        else:
-            lead = min(4 * lead, MOST_LEADERS)
-        if members.isEmpty():
-            break
+    pairs = staged(_first_meetings(members), "pairs")
+    links = staged(verified(pairs, texts, sketch, threshold).select("a", "b"), "links")
+    roots = None if links.isEmpty() else staged(components(links), "roots")
+    unsettled = staged(_several(_rooted(members, roots)).where(f"n > {SMALL}").select("doc").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        groups = staged(split(unsettled, texts, sketch, threshold), "groups")
+        more = staged(settled(_rooted(groups, roots), texts, sketch, threshold), "links")
+        if not more.isEmpty():
+            roots = staged(components(links.unionByName(more)), "roots")
     of_rep = alike.select("copy", "rep")
     if roots is not None:
         of_rep = of_rep.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
