@@ -289,3 +289,43 @@ def test_numbered_over_partitions(spark):
     assert sorted((r["rank"], r.k) for r in ranked) == [(i + 1, 999 - i) for i in range(1000)]
     assert stats.newest_half(rows.limit(0), "k").count() == 0
     assert sorted(r.k for r in stats.newest_half(rows.where("k < 5"), "k").collect()) == [2, 3, 4]
+
+
+def test_three_way_of_symlinks_and_empty_directories(spark):
+    base = snap(spark, ("l", "symlink", None, None, "x"), ("m", "symlink", None, None, "x"), ("f", "blob", "1", None, None))
+    local = snap(spark, ("l", "symlink", None, None, "y"), ("m", "symlink", None, None, "y"), ("f", "symlink", None, None, "z"), ("d", "empty_dir", None, None, None), ("n", "symlink", None, None, "p"), ("k", "empty_dir", None, None, None))
+    remote = snap(spark, ("l", "symlink", None, None, "y"), ("m", "symlink", None, None, "w"), ("d", "empty_dir", None, None, None), ("n", "symlink", None, None, "p"), ("k", "symlink", None, None, "p"))
+    got = {r.path: r.outcome for r in diff.three_way(base, local, remote).collect()}
+    assert got == {"l": "clean", "m": "conflict", "f": "conflict", "d": "clean", "n": "clean", "k": "conflict"}
+    assert {r.path: r.action for r in diff.restore_plan(base, local).collect()} == {"l": "restore", "m": "restore", "f": "restore", "d": "delete", "n": "delete", "k": "delete"}
+
+
+def test_base_hash_needs_the_whole_time_and_a_blob(spark):
+    base = spark.createDataFrame([(p, k, 5, 100, n, p * 2) for p, k, n in (("a", "blob", 7), ("b", "blob", 8), ("c", "symlink", 7))], "path string, kind string, size long, mtime_secs long, mtime_nanos long, hash string")
+    files = spark.createDataFrame([(p, 5, 100, 7) for p in "abc"], "path string, size long, mtime_secs long, mtime_nanos long")
+    rows = spark.createDataFrame([], "path string, mtime_secs long, mtime_nanos long, fs_size long, hash string, is_unsafe boolean")
+    assert sorted((r.path, r.source, r.hash) for r in cache.hash_source(files, rows, base, 1000).collect()) == [("a", "base", "aa"), ("b", "read", None), ("c", "read", None)]
+
+
+def test_escape_only_at_the_very_start():
+    assert [globs.parse_pattern(x).glob for x in ("\\#a", "\\!a", "!\\#a", "!a")] == ["#a", "!a", "\\#a", "a"]
+
+
+def test_compression_methods(spark):
+    import zstandard
+
+    frame = zstandard.ZstdCompressor().compress(b"plain text")
+    rows = [(b"\xed\xde" + frame, "dict_zstd", "unknown", None), (b"\xed\xdf" + frame, "plain_zstd", "blob", "text"), (b"\xed\xdfbroken", "plain_zstd", "unknown", None), (b"\xed\xd0\xed\xf1{}", "escaped_raw", "tree", None)]
+    rows += [(frame, "raw", "blob", "zstd"), (b"", "raw", "blob", "text"), (b"\xed", "raw", "blob", "binary"), (b"\xed\xdf" + zstandard.ZstdCompressor().compress(b"\xed\xf3abc"), "plain_zstd", "chunk", None)]
+    objects = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, content binary")
+    got = {r.i: (r.method, r.kind, r.content_type) for r in stats.classified(objects).collect()}
+    assert got == {i: r[1:] for i, r in enumerate(rows)}
+
+
+def test_tree_json_escapes_names(spark):
+    import json
+
+    names = ['a"b', "back\\slash", "tab\tnew\nline", "ünïcode", "plain"]
+    leaves = spark.createDataFrame([(n, "1" * 64, 3, None) for n in names], "name string, hash string, size long, mode string")
+    got = [json.loads(r.j)["name"] for r in leaves.select(rollup.entry_json("blob").alias("j")).collect()]
+    assert got == names

@@ -1,6 +1,4 @@
-import collections
 import os
-import re
 
 import pytest
 
@@ -43,27 +41,3 @@ def test_chunks_tile_their_files(spark):
     for r in rows:
         assert r.offset == ends.get(r.path, 0) and 0 < r.length <= 4096
         ends[r.path] = r.offset + r.length
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
-def test_all_content_types(spark):
-    magic = rb"\xff\xd8\xff|\x89PNG\r\n\x1a\n|GIF8|RIFF....WEBP|%PDF|PK\x03\x04|\x1f\x8b|\x28\xb5\x2f\xfd|x[\x01\x5e\x9c\xda]"
-    want = collections.defaultdict(lambda: [0, 0, 0])
-    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
-        body = (r.text or "").encode()
-        if r.doc_id % 6 not in (4, 5):
-            continue
-        stored = b"\x28\xb5\x2f\xfd" * (r.doc_id % 6 == 4) + body
-        if r.doc_id % 6 == 4:
-            kind = "zstd"
-        else:
-            assert not re.match(magic, stored, re.DOTALL)
-            try:
-                stored[:1024].decode()
-                kind = "binary" if re.search(rb"[\x00-\x08\x0e-\x1f]", stored[:1024]) else "text"
-            except UnicodeDecodeError:
-                kind = "binary"
-        for i, x in enumerate((1, len(stored), len(body))):
-            want[kind][i] += x
-    got = {r.content_type: [r["count"], r.stored, r.logical] for r in registry.QUERIES["ag13_all_content_types"](spark, SF).collect()}
-    assert got == dict(want) and len(got) > 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ BUCKETS = [
 ]
 # Leading bytes (hex) of content types, first match wins.
 MAGIC = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("47494638", "gif"), ("52494646........57454250", "webp"), ("25504446", "pdf"), ("504B0304", "zip"), ("1F8B", "gzip"), ("28B52FFD", "zstd"), ("78(01|5E|9C|DA)", "zlib")]
+# Leading bytes (hex) of stored objects by compression method.
+METHODS = {"EDDE": "dict_zstd", "EDDF": "plain_zstd", "EDD0": "escaped_raw"}
 SAMPLE = 1024
 
 
@@ -45,8 +48,36 @@ def object_kind(stored: Column) -> Column:
 
 
 def compression(stored: Column) -> Column:
-    """zstd (frame magic, plain or with dictionary) or raw."""
-    return F.when(F.hex(F.substring(stored, 1, 2)) == "28B5", "zstd").otherwise("raw")
+    """How stored bytes are compressed, by their two leading bytes; without a tag they are raw."""
+    found = F.lit("raw")
+    for lead, name in METHODS.items():
+        found = F.when(F.hex(F.substring(stored, 1, 2)) == lead, name).otherwise(found)
+    return found
+
+
+def decoded(stored: Column) -> Column:
+    """The bytes before compression: raw and escaped ones in place, plain zstd frames by Arrow batches.
+
+    Unsound frames and frames that need a dictionary give null.
+    """
+    method, rest = compression(stored), F.substring(stored, 3, 2147483647)
+    return F.when(method == "raw", stored).when(method == "escaped_raw", rest).when(method == "plain_zstd", _inflated(F.when(method == "plain_zstd", rest)))
+
+
+def _inflated(frames: Column) -> Column:
+    @F.pandas_udf("binary")
+    def run(column: pd.Series) -> pd.Series:
+        import zstandard
+
+        def one(frame: bytes | None) -> bytes | None:
+            try:
+                return None if frame is None else zstandard.ZstdDecompressor().decompressobj().decompress(frame)
+            except zstandard.ZstdError:
+                return None
+
+        return column.map(one)
+
+    return run(frames)
 
 
 def route(size: Column) -> Column:

@@ -26,7 +26,7 @@ class Pattern:
 
 
 def parse_pattern(line: str) -> Pattern | None:
-    """A pattern line: ``!`` negates, a leading ``/`` anchors, a trailing ``/`` is dropped, ``\\#`` and ``\\!`` escape.
+    """A pattern line: ``!`` negates, a leading ``/`` anchors, a trailing ``/`` is dropped, ``\\#`` and ``\\!`` at its very start escape.
 
     Comments, blank lines and patterns with ``?`` or ``[`` give None.
     """
@@ -34,8 +34,7 @@ def parse_pattern(line: str) -> Pattern | None:
     if not line or line.startswith("#"):
         return None
     negated = line.startswith("!")
-    line = line[1:] if negated else line
-    line = line[1:] if line[:2] in ("\\#", "\\!") else line
+    line = line[1:] if negated or line[:2] in ("\\#", "\\!") else line
     line = line.rstrip("/")
     anchored = line.startswith("/")
     line = line[1:] if anchored else line

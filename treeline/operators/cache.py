@@ -23,14 +23,19 @@ def cache_hits(files: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def can_skip_hash(now: int) -> Column:
-    """The base has the path as a blob of the same size and time, and the time is old enough."""
-    same = (F.col("base_size") == F.col("size")) & (F.col("base_mtime_secs") == F.col("mtime_secs"))
+    """The base has the path as a blob of the same size and whole time, and the time is old enough."""
+    same = (F.col("base_kind") == "blob") & (F.col("base_size") == F.col("size")) & (F.col("base_mtime_secs") == F.col("mtime_secs")) & (F.col("base_mtime_nanos") == F.col("mtime_nanos"))
     return F.coalesce(same & ~is_racy(F.col("mtime_secs"), now), F.lit(False))
 
 
 def hash_source(files: DataFrame, cache: DataFrame, base: DataFrame, now: int) -> DataFrame:
-    """``path, source, hash``: from the cache, else from the base, else to be read (null hash)."""
-    known = base.select("path", F.col("size").alias("base_size"), F.col("mtime_secs").alias("base_mtime_secs"), F.col("hash").alias("base_hash"))
+    """``path, source, hash``: from the cache, else from the base, else to be read (null hash).
+
+    ``base`` without ``kind`` has blobs only, without ``mtime_nanos`` whole seconds.
+    """
+    kind = F.col("kind") if "kind" in base.columns else F.lit("blob")
+    nanos = F.col("mtime_nanos") if "mtime_nanos" in base.columns else F.lit(0)
+    known = base.select("path", kind.alias("base_kind"), F.col("size").alias("base_size"), F.col("mtime_secs").alias("base_mtime_secs"), nanos.alias("base_mtime_nanos"), F.col("hash").alias("base_hash"))
     joined = cache_hits(files, cache).join(known, "path", "left")
     source = F.when(F.col("cached_hash").isNotNull(), "cache").when(can_skip_hash(now), "base").otherwise("read")
     return joined.select("path", source.alias("source"), F.when(source == "cache", F.col("cached_hash")).when(source == "base", F.col("base_hash")).alias("hash"))

@@ -42,13 +42,18 @@ def deletions(base: DataFrame, target: DataFrame) -> DataFrame:
 def three_way(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """``path, local_change, remote_change, outcome`` of all paths that either side changed.
 
-    ``clean``: only the remote changed, or both came to the same content (modes aside);
-    ``kept``: only the local side changed; else ``conflict``.
+    ``clean``: only the remote changed, or both came to the same content (kind, hash and symlink target, modes
+    aside; equal symlinks and empty directories have no hash); ``kept``: only the local side changed; else ``conflict``.
     """
-    ours = diff(base, local).select("path", F.col("change").alias("local_change"), F.col("target_hash").alias("local_hash"))
-    theirs = diff(base, remote).select("path", F.col("change").alias("remote_change"), F.col("target_hash").alias("remote_hash"))
+    content = [c for c in ("kind", "hash", "target") if all(c in side.columns for side in (base, local, remote))]
+    ours = diff(base, local).select("path", F.col("change").alias("local_change"), *[F.col(f"target_{c}").alias(f"local_{c}") for c in content])
+    theirs = diff(base, remote).select("path", F.col("change").alias("remote_change"), *[F.col(f"target_{c}").alias(f"remote_{c}") for c in content])
     both = ours.join(theirs, "path", "full_outer")
-    same = ((F.col("local_change") == "D") & (F.col("remote_change") == "D")) | (F.col("local_hash") == F.col("remote_hash"))
+    equal = F.lit(True)
+    for c in content:
+        equal = equal & F.col(f"local_{c}").eqNullSafe(F.col(f"remote_{c}"))
+    deleted = (F.col("local_change") == "D").cast("int") + (F.col("remote_change") == "D").cast("int")
+    same = (deleted == 2) | ((deleted == 0) & equal)
     outcome = F.when(F.col("local_change").isNull(), "clean").when(F.col("remote_change").isNull(), "kept").when(same, "clean").otherwise("conflict")
     return both.select("path", "local_change", "remote_change", outcome.alias("outcome"))
 
@@ -144,9 +149,12 @@ def splice(snapshot: DataFrame, path: str, rows: DataFrame) -> DataFrame:
 
 
 def restore_plan(base: DataFrame, working: DataFrame) -> DataFrame:
-    """``path, action``: restore what is absent or differs in content or mode, delete what the base lacks, else skip."""
+    """``path, action``: restore what is absent or differs in kind, content, symlink target or mode, delete what the base lacks, else skip."""
     joined = _side(base, "base").join(_side(working, "work"), "path", "full_outer")
-    same = F.col("base_hash").eqNullSafe(F.col("work_hash")) & F.col("base_mode").eqNullSafe(F.col("work_mode"))
+    same = F.lit(True)
+    for c in ("kind", "hash", "target", "mode"):
+        if c in base.columns and c in working.columns:
+            same = same & F.col(f"base_{c}").eqNullSafe(F.col(f"work_{c}"))
     action = F.when(F.col("base_here").isNull(), "delete").when(F.col("work_here").isNull() | ~same, "restore").otherwise("skip")
     return joined.select("path", action.alias("action"))
 

@@ -21,9 +21,15 @@ def directory_totals(leaves: DataFrame) -> DataFrame:
     return chain.groupBy(F.col("dir").alias("path")).agg(F.sum("size").alias("size"), F.sum("blob_count").alias("blob_count"), F.max("mtime_secs").alias("mtime_secs"))
 
 
+def quoted(text: F.Column) -> F.Column:
+    """A JSON string: quotes, backslashes and control characters are escaped."""
+    plain = F.concat(F.lit('"'), text, F.lit('"'))
+    return F.when(text.rlike(r'["\\\x00-\x1F]'), F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)).otherwise(plain)
+
+
 def entry_json(kind: str) -> F.Column:
     """One entry in canonical form: kind, name, hash, size and, if set, mode."""
-    fixed = [F.lit('{"kind":"' + kind + '","name":"'), F.col("name"), F.lit('","hash":"'), F.col("hash"), F.lit('","size":'), F.col("size").cast("string")]
+    fixed = [F.lit('{"kind":"' + kind + '","name":'), quoted(F.col("name")), F.lit(',"hash":"'), F.col("hash"), F.lit('","size":'), F.col("size").cast("string")]
     mode = F.when(F.col("mode").isNotNull(), F.concat(F.lit(',"mode":"'), F.col("mode"), F.lit('"'))).otherwise("")
     return F.concat(*fixed, mode, F.lit("}"))
 

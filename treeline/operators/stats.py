@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from treeline.functions.content import bucket_index, bucket_label, compression, content_type, object_kind
+from treeline.functions.content import bucket_index, bucket_label, compression, content_type, decoded, object_kind
 from treeline.functions.hashing import unescape_standalone
 from treeline.sources.staging import cut
 
@@ -31,11 +31,16 @@ def size_stats(objects: DataFrame, *keys: str) -> DataFrame:
     return totals.withColumn("ratio_pct", ratio).withColumn("saved_pct", 100 - ratio)
 
 
-def classified(objects: DataFrame, content: str = "content") -> DataFrame:
-    """``objects`` with ``kind, method, content_type``; the content type of blobs only."""
+def classified(objects: DataFrame, content: str = "content", plain: str | None = None) -> DataFrame:
+    """``objects`` with ``kind, method, content_type``; the content type of blobs only.
+
+    The method is told from the stored bytes, kind and type from those before compression: the column
+    ``plain`` where they are known, else they are decoded.  What can't be decoded is of unknown kind.
+    """
     inner = unescape_standalone(F.col(content))
-    kind = object_kind(inner)
-    return objects.withColumn("kind", kind).withColumn("method", F.when(kind != "unknown", compression(inner))).withColumn("content_type", F.when(kind == "blob", content_type(inner)))
+    before = decoded(inner) if plain is None else F.col(plain)
+    kind = F.coalesce(object_kind(before), F.lit("unknown"))
+    return objects.withColumns({"kind": kind, "method": F.when((kind != "unknown") | before.isNull(), compression(inner)), "content_type": F.when(kind == "blob", content_type(before))})
 
 
 def kind_totals(objects: DataFrame) -> DataFrame:

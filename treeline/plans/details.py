@@ -95,21 +95,12 @@ def is_chunked(spark, sf):
     return chunks.manifests(chunks.line_chunks(T.blobs(spark, sf))).where("is_chunked").select("path")
 
 
-@query("pk12_resolve", f"WITH {S.FILES} SELECT sha256(text) AS hash, hex(encode(substr(text, 1, 20))) AS bytes FROM files WHERE regexp_full_match(substr(text, 1, 30), '[ -~]*') AND length(text) >= 30 GROUP BY ALL")
-def resolve(spark, sf):
-    text = F.col("text")
-    files = T.blobs(spark, sf).where(F.substring(text, 1, 30).rlike(r"^[ -~]*\z") & (F.length(text) >= 30)).select(sha(F.encode(text, "UTF-8")).alias("hash"), text).dropDuplicates(["hash"])
-    packs = files.select(F.col("hash").alias("pack_hash"), F.concat(F.unhex(F.lit("EDE1")), F.encode(F.concat(F.lit("head-"), text), "UTF-8")).alias("bytes"))
-    entries = files.select("hash", F.lit("pack").alias("kind"), F.lit(None).cast("binary").alias("data"), F.col("hash").alias("pack_hash"), F.lit(5).cast("long").alias("offset"), F.lit(20).cast("long").alias("length"))
-    return index.resolve(entries, packs).select("hash", F.hex("bytes").alias("bytes"))
-
-
 @query(
-    "pk12_resolve_all",
+    "pk12_resolve",
     f"WITH {S.FILES}, e AS (SELECT DISTINCT sha256(text) AS hash, encode(text) AS body FROM files), k AS (SELECT hash, body, CASE octet_length(body) % 3 WHEN 0 THEN 'inline' WHEN 1 THEN 'pack' ELSE 'standalone' END AS kind FROM e) SELECT hash, CASE WHEN kind <> 'standalone' THEN hex(body) END AS bytes FROM k",
 )
-def resolve_all(spark, sf):
-    """Entries of all files and kinds, at several offsets, to all their bytes; ``pk12_resolve`` has heads of ASCII files in packs."""
+def resolve(spark, sf):
+    """Entries of all files and kinds, at several offsets, to all their bytes."""
     body = F.encode("text", "UTF-8")
     files = T.blobs(spark, sf).select(sha(body).alias("hash"), body.alias("body"), "size").dropDuplicates(["hash"])
     kind = F.when(F.col("size") % 3 == 0, "inline").when(F.col("size") % 3 == 1, "pack").otherwise("standalone")
@@ -144,14 +135,9 @@ def stub_names(spark, sf):
     return T.blobs(spark, sf).select("doc_id", stub_logical(given).alias("logical"))
 
 
-@query("sc39_inspect_index", f"WITH {S.LATEST} SELECT '{{\"hash\":\"' || hash || '\",\"kind\":\"' || kind || '\",\"length\":' || CAST(length AS VARCHAR) || '}}' AS json FROM latest WHERE hash < '01'")
+@query("sc39_inspect_index", f"WITH {S.LATEST} SELECT '{{\"hash\":\"' || hash || '\",\"kind\":\"' || kind || '\",\"length\":' || CAST(length AS VARCHAR) || '}}' AS json FROM latest")
 def inspect_index(spark, sf):
-    return stats.to_report(_latest(spark, sf).where("hash < '01'").select("hash", "kind", "length"))
-
-
-@query("sc39_inspect_whole_index", f"WITH {S.LATEST} SELECT '{{\"hash\":\"' || hash || '\",\"kind\":\"' || kind || '\",\"length\":' || CAST(length AS VARCHAR) || '}}' AS json FROM latest")
-def inspect_whole_index(spark, sf):
-    """Every latest entry; ``sc39_inspect_index`` has one range of hashes."""
+    """Every latest entry as JSON."""
     return stats.to_report(_latest(spark, sf).select("hash", "kind", "length"))
 
 

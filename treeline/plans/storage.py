@@ -80,17 +80,27 @@ def content_types(spark, sf):
     return T.blobs(spark, sf).select("doc_id", content.content_type(given).alias("content_type"))
 
 
-@query(
-    "sc14_object_kinds",
-    f"""WITH {S.FILES} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'tree' WHEN 1 THEN 'manifest' WHEN 2 THEN 'chunk' WHEN 3 THEN 'unknown' ELSE 'blob' END AS kind,
-    CASE doc_id % 6 WHEN 3 THEN NULL WHEN 4 THEN 'zstd' ELSE 'raw' END AS method FROM files""",
-)
+#: Objects of every kind and compression method: leading bytes (hex) of the stored and of the plain form, by ``doc_id % 8``.
+_LEADS = {0: ("EDE0EDF1", "EDF1"), 1: ("EDF2", "EDF2"), 2: ("EDF3", "EDF3"), 3: ("EDE2", "EDE2"), 4: ("EDD0EDF1", "EDF1"), 5: ("", ""), 6: ("EDDF28B52FFD", ""), 7: ("EDDE28B52FFD", "")}
+_KIND_SQL = "CASE doc_id % 8 WHEN 0 THEN 'tree' WHEN 1 THEN 'manifest' WHEN 2 THEN 'chunk' WHEN 3 THEN 'unknown' WHEN 4 THEN 'tree' ELSE 'blob' END AS kind"
+_METHOD_SQL = "CASE doc_id % 8 WHEN 3 THEN NULL WHEN 4 THEN 'escaped_raw' WHEN 6 THEN 'plain_zstd' WHEN 7 THEN 'dict_zstd' ELSE 'raw' END AS method"
+_OBJECTS = f"{S.FILES}, objects AS (SELECT doc_id, text, size, {_KIND_SQL}, {_METHOD_SQL}, size + CASE doc_id % 8 WHEN 0 THEN 4 WHEN 4 THEN 4 WHEN 5 THEN 0 WHEN 6 THEN 6 WHEN 7 THEN 6 ELSE 2 END AS stored FROM files)"
+
+
+def _objects(spark, sf):
+    body, stored = F.encode("text", "UTF-8"), F.lit(None).cast("binary")
+    plain = stored
+    for i, (outer, inner) in _LEADS.items():
+        at = F.col("doc_id") % 8 == i
+        stored = F.when(at, F.concat(hashing.tag(outer), body) if outer else body).otherwise(stored)
+        plain = F.when(at, F.concat(hashing.tag(inner), body) if inner else body).otherwise(plain)
+    rows = T.blobs(spark, sf).select("doc_id", stored.alias("content"), plain.alias("plain"), F.col("size").alias("logical"))
+    return stats.classified(rows.withColumn("stored", F.octet_length("content").cast("long")), plain="plain")
+
+
+@query("sc14_object_kinds", f"WITH {_OBJECTS} SELECT doc_id, kind, method FROM objects")
 def object_kinds(spark, sf):
-    body, k = F.encode("text", "UTF-8"), F.col("doc_id") % 6
-    given = body
-    for i, head in {0: "EDE0EDF1", 1: "EDF2", 2: "EDF3", 3: "EDE2", 4: "28B52FFD"}.items():
-        given = F.when(k == i, F.concat(hashing.tag(head), body)).otherwise(given)
-    return stats.classified(T.blobs(spark, sf).select("doc_id", given.alias("content"))).select("doc_id", "kind", "method")
+    return _objects(spark, sf).select("doc_id", "kind", "method")
 
 
 @query(
@@ -291,19 +301,6 @@ def size_stats(spark, sf):
     return found.withColumns({c: F.round(c, 4) for c in ("avg_stored", "ratio_pct", "saved_pct")})
 
 
-_OBJECTS = f"""{S.FILES}, objects AS (SELECT doc_id, size, CASE doc_id % 6 WHEN 0 THEN 'tree' WHEN 1 THEN 'manifest' WHEN 2 THEN 'chunk' WHEN 3 THEN 'unknown' ELSE 'blob' END AS kind,
-    CASE doc_id % 6 WHEN 3 THEN NULL WHEN 4 THEN 'zstd' ELSE 'raw' END AS method, size + CASE doc_id % 6 WHEN 0 THEN 4 WHEN 4 THEN 4 WHEN 5 THEN 0 ELSE 2 END AS stored FROM files)"""
-
-
-def _objects(spark, sf):
-    body, k = F.encode("text", "UTF-8"), F.col("doc_id") % 6
-    given = body
-    for i, head in {0: "EDE0EDF1", 1: "EDF2", 2: "EDF3", 3: "EDE2", 4: "28B52FFD"}.items():
-        given = F.when(k == i, F.concat(hashing.tag(head), body)).otherwise(given)
-    rows = T.blobs(spark, sf).select("doc_id", given.alias("content"), F.col("size").alias("logical"))
-    return stats.classified(rows.withColumn("stored", F.octet_length("content").cast("long")))
-
-
 @query("ag11_method_totals", f"WITH {_OBJECTS} SELECT method, count(*) AS count, CAST(sum(stored) AS BIGINT) AS stored FROM objects WHERE method IS NOT NULL GROUP BY method")
 def method_totals(spark, sf):
     return stats.method_totals(_objects(spark, sf))
@@ -316,15 +313,13 @@ def kind_totals(spark, sf):
 
 @query(
     "ag13_content_type_totals",
-    f"WITH {_OBJECTS} SELECT 'zstd' AS content_type, count(*) AS count, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(size) AS BIGINT) AS logical, round(sum(stored) * 100.0 / sum(size), 4) AS ratio_pct FROM objects WHERE doc_id % 6 = 4",
+    f"""WITH {_OBJECTS}, heads AS (SELECT stored, size, TRY(decode(unhex(substr(hex(encode(text)), 1, 2048)))) AS head FROM objects WHERE kind = 'blob'),
+    typed AS (SELECT stored, size, CASE WHEN starts_with(head, 'GIF8') THEN 'gif' WHEN starts_with(head, '%PDF') THEN 'pdf' WHEN starts_with(head, 'x^') OR starts_with(head, 'x' || chr(1)) THEN 'zlib'
+      WHEN head IS NULL OR regexp_matches(head, '[\x00-\x08\x0E-\x1F]') THEN 'binary' ELSE 'text' END AS content_type FROM heads)
+    SELECT content_type, count(*) AS count, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(size) AS BIGINT) AS logical, round(sum(stored) * 100.0 / sum(size), 4) AS ratio_pct FROM typed GROUP BY content_type""",
 )
 def content_type_totals(spark, sf):
-    return stats.content_type_totals(_objects(spark, sf).where("doc_id % 6 = 4")).select("content_type", "count", "stored", "logical", F.round("ratio_pct", 4).alias("ratio_pct"))
-
-
-@query("ag13_all_content_types")
-def all_content_types(spark, sf):
-    """Every blob by its content type; ``ag13_content_type_totals`` has zstd frames only. Held against brute force."""
+    """Every blob by its content type."""
     return stats.content_type_totals(_objects(spark, sf)).select("content_type", "count", "stored", "logical", F.round("ratio_pct", 4).alias("ratio_pct"))
 
 
