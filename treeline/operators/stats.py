@@ -39,7 +39,7 @@ def classified(objects: DataFrame, content: str = "content", plain: str | None =
     """
     inner = unescape_standalone(F.col(content))
     before = decoded(inner) if plain is None else F.col(plain)
-    kind = F.coalesce(object_kind(before), F.lit("unknown"))
+    kind = F.when(before.isNull(), "unknown").otherwise(object_kind(before))
     return objects.withColumns({"kind": kind, "method": F.when((kind != "unknown") | before.isNull(), compression(inner)), "content_type": F.when(kind == "blob", content_type(before))})
 
 
