@@ -77,7 +77,38 @@ def test_base_counts(judged):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), failed)
-        assert r.kept == (not failed and r.score >= quality.THRESHOLD)
+
+
+def test_scores_and_verdicts_recomputed(spark, judged):
+    docs, labels, out = judged
+    hashed = docs.select("doc_id", quality._ngrams(F.col("_words")).alias("grams")) if "_words" in docs.columns else quality.with_words(docs).select("doc_id", "text", quality._ngrams(F.col("_words")).alias("grams"), quality.fold(F.col("doc_id")).alias("fold"))
+    given = hashed.collect()
+    trusted = {r.doc_id for r in quality.trusted_ids(labels).collect()}
+    assert trusted == set(range(20)) - {5}
+    raw = collections.Counter(b for r in given for b in r.grams)
+    n = sum(raw.values())
+    target = {k: collections.Counter(b for r in given if r.doc_id in trusted and r.fold != k for b in r.grams) for k in range(2)}
+
+    def score(r):
+        own, total, out = target[r.fold], sum(target[r.fold].values()), 0.0
+        for b in r.grams:
+            p = (raw[b] + 1) / (n + quality.BUCKETS)
+            out += math.log((own[b] + quality.PRIOR * quality.BUCKETS * p) / (total + quality.PRIOR * quality.BUCKETS) / p)
+        return out / len(r.grams) if r.grams else 0.0
+
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", round(score(r), 5)) for r in given)
+    rows = out.collect()
+    assert want == sorted((r.doc_id is None, r.doc_id or 0, r.text or "", round(r.score, 5)) for r in rows)
+    cut = np.quantile([r.score for r in rows if r.doc_id in trusted and not r.base_failed], 1 - quality.KEPT_TRUSTED)
+    assert all(r.kept == (not r.base_failed and r.score >= cut - 1e-12) for r in rows)
+    assert len({r.fold for r in given if r.doc_id in trusted}) == 2
+
+
+def test_quality_of_a_very_long_text(spark, judged):
+    docs, labels, _ = judged
+    long = prose(200_000, 8)
+    r = quality.judge_quality(docs.unionByName(spark.createDataFrame([(900, long, 0)], docs.schema)), labels).where("doc_id = 900").first()
+    assert (r.n_words, r.word_chars) == (200_000, len(long) - 199_999)
 
 
 def test_junk_scores_lower(judged):
