@@ -271,8 +271,10 @@ def _rows(held: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.R
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages to archives in the shared folder and read their records back."""
+    """Write all pages to archives in the shared folder and read their records back; a quarantined gap raises."""
     folder = shared_dir(pages.sparkSession, "warc")
     manifest = write_archives(pages, folder)
     found = read_archives(manifest, folder, with_payload=False)
-    return found.where(F.col("record_type") != "gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("records lost in"), "file", F.lit("at"), "offset", F.lit(":"), "reason"))
+    whole = found.withColumn("record_type", F.when(F.col("record_type") == "gap", lost.cast("string")).otherwise(F.col("record_type")))
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
