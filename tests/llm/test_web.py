@@ -1,5 +1,6 @@
 """URL filters and web archives."""
 
+import base64
 import hashlib
 import io
 import random
@@ -107,3 +108,63 @@ def test_salvage(wrap):
     got, gaps = read(parts[0][: len(parts[0]) // 2] + b"".join(parts[1:]))
     assert got == every[1:]
     assert read(b"") == ([], [])
+
+
+def test_salvage_of_old_versions_and_members_of_many_records():
+    raw = [r.replace(b"WARC/1.1", b"WARC/1.0") for r in records(5)]
+    ids = list("01234")
+    assert read(b"".join(raw)) == (ids, [])
+    assert read(warc.member(b"".join(raw))) == (ids, [])
+    assert read(warc.member(b"") + warc.member(raw[0] + raw[1]) + b"".join(raw[2:])) == (ids, [])
+    damaged = warc.member(raw[0] + raw[1].replace(b"BBBB", b"bbbb", 1) + b"junk" + raw[2])
+    got, gaps = read(damaged + warc.member(raw[3]))
+    assert got == ["0", "2", "3"]
+    assert [g[:2] for g in gaps] == [(0, len(damaged))] and gaps[0][2].startswith(f"{len(raw[1]) + 4} bytes inside a member")
+
+
+def test_salvage_of_large_members(monkeypatch):
+    monkeypatch.setattr(warc, "HELD", 100)
+    monkeypatch.setattr(warc, "READ", 64)
+    raw = records(6)
+    both = warc.member(b"".join(raw[:4])) + warc.member(raw[4] + raw[5])
+    assert read(both) == (list("012345"), [])
+    cut, gaps = read(both[:-9])
+    assert cut == list("0123") and len(gaps) == 1
+
+
+@pytest.mark.parametrize("algorithm", ["md5", "sha1", "sha256"])
+def test_block_digests_of_both_writings(algorithm):
+    block = b"some block"
+    own = hashlib.new(algorithm, block).digest()
+    for value in (own.hex(), base64.b32encode(own).decode()):
+        assert not warc._differs(f"{algorithm}:{value}", block)
+        assert warc._differs(f"{algorithm}:{value}", block + b"x")
+    assert not warc._differs("blake9:00", block)
+
+
+class Counted(io.BytesIO):
+    """A stream that knows its size and counts the bytes read."""
+
+    read_bytes = 0
+
+    def size(self):
+        return len(self.getbuffer())
+
+    def read(self, n=-1):
+        part = super().read(n)
+        self.read_bytes += len(part)
+        return part
+
+
+@pytest.mark.parametrize("length", [99999999999, 5_000_000])
+def test_a_damaged_length_is_not_read_ahead(length, monkeypatch):
+    monkeypatch.setattr(warc, "READ", 1 << 12)
+    block = b"x" * 3000
+    raw = [warc.record({"WARC-Type": "response", "X-Page-Id": str(i)}, block) for i in range(3000)]
+    raw[1] = raw[1].replace(b"Content-Length: 3000", f"Content-Length: {length}".encode())
+    stream, log = Counted(b"".join(raw)), warc.Salvage()
+    found = warc.read_records(stream, log)
+    first = [next(found)[1]["x-page-id"] for _ in range(2)]
+    assert first == ["0", "2"] and stream.read_bytes < 100_000
+    assert [g[:2] for g in log.gaps] == [(len(raw[0]), len(raw[1]))]
+    assert sum(1 for _ in found) == 2997

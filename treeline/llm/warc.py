@@ -1,15 +1,20 @@
 """Web-archive (WARC 1.1) writing with payload dedup, and a salvage reader.
 
-Every record is a gzip member of its own.  The reader checks each member (gzip
-trailer) and record (version line, Content-Length, block digest).  After a failed
-check it searches for the next gzip member that starts with a version line, or in
-a plain file for the next version line, and goes on there; the bytes in between are
-logged as a quarantined gap.  Memory is that of the largest record.
+Every record is written as a gzip member of its own.  The reader takes any WARC 1.x, plain or in
+members of one or more records, and checks each member (gzip trailer) and record (version line,
+Content-Length, block digest).  After a failed check it searches for the next gzip member that
+starts with a version line, or in plain bytes for the next version line, and goes on there; the
+bytes in between are logged as a quarantined gap.  Where a record should end is looked up before
+its block is read, if the stream can seek.  Memory is that of the largest record and the compressed
+bytes of the largest member.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,8 +28,14 @@ from pyspark.sql import functions as F
 from treeline.llm.shared import shared_dir, staged
 
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/1\.[0-9]\r\n")
+VERSION_BYTES = 10
 GZIP = b"\x1f\x8b\x08"
 READ = 1 << 20
+#: Contents of a member up to this size are kept between its check and its reading.
+HELD = 16 << 20
+#: A header that has not ended after about this many bytes is unsound.
+HEAD = 1 << 20
 #: Salt values that spread the records of one payload over tasks.
 SALTS = 32
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -67,103 +78,172 @@ class _Window:
         del self.data[:n]
         self.base += n
 
+    def holds(self, at: int, wanted: bytes) -> bool:
+        """Whether ``wanted`` stands at ``at``, without keeping what lies before it if the stream can seek."""
+        if len(self.data) < at + len(wanted) and getattr(self.stream, "seekable", lambda: False)():
+            here = self.stream.tell()
+            place = here - len(self.data) + at
+            if hasattr(self.stream, "size") and place + len(wanted) > self.stream.size():
+                return False
+            self.stream.seek(place)
+            found = self.stream.read(len(wanted))
+            self.stream.seek(here)
+            return found == wanted
+        self.fill(at + len(wanted))
+        return self.data[at : at + len(wanted)] == wanted
+
+
+class _Member:
+    """The content of the gzip member at a window's start; reading raises ValueError where it is unsound."""
+
+    def __init__(self, window: _Window):
+        self.window, self.z, self.at, self.rest, self.more, self.step = window, zlib.decompressobj(31), 0, b"", False, 1 << 13
+
+    def read(self, n: int) -> bytes:
+        while not self.z.eof:
+            if not self.rest and not self.more:
+                if not self.window.fill(self.at + 1):
+                    raise ValueError("member cut off")
+                self.rest = bytes(self.window.data[self.at : self.at + self.step])
+                self.at += len(self.rest)
+                self.step = min(2 * self.step, READ)
+            try:
+                out = self.z.decompress(self.rest, n)
+            except zlib.error as error:
+                raise ValueError(f"member unsound: {error}") from None
+            self.rest, self.more = self.z.unconsumed_tail, len(out) == n
+            if out:
+                return out
+        return b""
+
+    def used(self) -> int:
+        return self.at - len(self.z.unused_data)
+
+
+def _content(window: _Window):
+    """(content as a stream, compressed size) of the sound member at the window's start.
+
+    The whole member is checked first; a content of more than ``HELD`` bytes is not kept but decompressed again as it is read.
+    """
+    member, pieces, size = _Member(window), [], 0
+    while piece := member.read(READ):
+        size += len(piece)
+        if size <= HELD:
+            pieces.append(piece)
+        else:
+            pieces.clear()
+    return (io.BytesIO(b"".join(pieces)) if size <= HELD else _Member(window)), member.used()
 
-def _parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of the record at the start of ``raw``; ValueError if unsound."""
-    if not raw.startswith(VERSION + b"\r\n"):
-        raise ValueError("no version line")
-    end = raw.find(b"\r\n\r\n")
-    if end < 0:
-        raise ValueError("header not ended")
+
+def _headers(raw: bytes) -> dict[str, str]:
+    lines = raw.decode("utf-8").split("\r\n")[1:]
     headers = {}
-    for line in raw[len(VERSION) + 2 : end].decode("utf-8").split("\r\n"):
+    for line in lines:
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("header line without colon")
         headers[name.strip().lower()] = value.strip()
-    size = headers.get("content-length", "")
-    if not size.isdigit():
-        raise ValueError("no content length")
-    stop = end + 4 + int(size)
-    block = raw[end + 4 : stop]
-    if len(block) < int(size):
-        raise ValueError("block cut off")
-    if raw[stop : stop + 4] != b"\r\n\r\n":
-        raise ValueError("record not ended")
-    digest = headers.get("warc-block-digest", "")
-    if digest.startswith("sha256:") and digest[7:] != hashlib.sha256(block).hexdigest():
-        raise ValueError("block digest differs")
-    return headers, block, stop + 4
+    return headers
+
+
+def _differs(digest: str, block: bytes) -> bool:
+    """Whether a digest, in hexadecimal or base32, of a known algorithm is not the block's."""
+    name, _, value = digest.partition(":")
+    if name.lower() not in ("md5", "sha1", "sha256"):
+        return False
+    own = hashlib.new(name.lower(), block).digest()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
 
 
-def _inflate(window: _Window) -> tuple[bytes, int]:
-    """(content, compressed size) of the gzip member at the window's start."""
-    z, out, at = zlib.decompressobj(31), bytearray(), 0
-    try:
-        while not z.eof:
-            if not window.fill(at + 1):
-                raise ValueError("member cut off")
-            part = bytes(window.data[at : at + READ])
-            out += z.decompress(part)
-            at += len(part)
-    except zlib.error as error:
-        raise ValueError(f"member unsound: {error}") from None
-    return bytes(out), at - len(z.unused_data)
-
-
-def _plain_record(window: _Window) -> tuple[dict[str, str], bytes, int]:
-    """The uncompressed record at the window's start, reading on as far as its header says."""
-    size = 1 << 16
-    while b"\r\n\r\n" not in window.data[:size] and window.fill(size + 1):
+def _record(window: _Window) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, bytes used) of the record at the window's start; ValueError if unsound."""
+    window.fill(VERSION_BYTES)
+    if not VERSION_LINE.match(window.data):
+        raise ValueError("no version line")
+    size = 1 << 12
+    while (end := window.data.find(b"\r\n\r\n", 0, size)) < 0:
+        if size > HEAD or not window.fill(size + 1):
+            raise ValueError("header not ended")
         size *= 4
-    end = window.data.find(b"\r\n\r\n")
-    if end >= 0:
-        for line in bytes(window.data[:end]).lower().split(b"\r\n"):
-            if line.startswith(b"content-length:") and line[15:].strip().isdigit():
-                window.fill(end + 8 + int(line[15:]))
-    return _parse(bytes(window.data))
+    headers = _headers(bytes(window.data[:end]))
+    length = headers.get("content-length", "")
+    if not (length.isascii() and length.isdigit()):
+        raise ValueError("no content length")
+    start, stop = end + 4, end + 4 + int(length)
+    if not window.holds(stop, b"\r\n\r\n"):
+        raise ValueError("record not ended where its length says")
+    window.fill(stop + 4)
+    block = bytes(window.data[start:stop])
+    if _differs(headers.get("warc-block-digest", ""), block):
+        raise ValueError("block digest differs")
+    return headers, block, stop + 4
 
 
-def _next_start(window: _Window, begin: int) -> int:
-    """Offset, from ``begin`` on, of the next member or version line that opens a record."""
+def _next_start(window: _Window, begin: int, members: bool = True) -> int:
+    """Offset, from ``begin`` on, of the next version line or, unless switched off, member that opens a record."""
     at = begin
     while True:
         more = window.fill(at + READ)
-        spots = [p for p in (window.data.find(GZIP, at), window.data.find(VERSION + b"\r\n", at)) if p >= 0]
+        line = VERSION_LINE.search(window.data, at)
+        spots = [line.start()] if line else []
+        if members and (spot := window.data.find(GZIP, at)) >= 0:
+            spots.append(spot)
         if not spots:
             if not more:
                 return len(window.data)
-            at = max(at, len(window.data) - len(VERSION) - 2)
+            at = max(at, len(window.data) - VERSION_BYTES)
             continue
         at = min(spots)
         if window.data[at : at + 3] != GZIP:
             return at
         window.fill(at + 4096)
         try:
-            if zlib.decompressobj(31).decompress(bytes(window.data[at : at + 4096]), len(VERSION)) == VERSION:
+            if VERSION_LINE.match(zlib.decompressobj(31).decompress(bytes(window.data[at : at + 4096]), VERSION_BYTES)):
                 return at
         except zlib.error:
             pass
         at += 1
 
 
+def _inside(content, offset: int, used: int, log: Salvage) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """Sound records of one member's content; what lies between them is logged as one gap of the member."""
+    window, lost, first = _Window(content), 0, ""
+    while window.fill(1):
+        try:
+            headers, block, size = _record(window)
+        except ValueError as error:
+            size = _next_start(window, 1, members=False)
+            first = first or f"first at {window.base} of its content: {error}"
+            lost += size
+        else:
+            yield offset, headers, block
+        window.skip(size)
+    if lost:
+        log.gaps.append((offset, used, f"{lost} bytes inside a member, {first}"))
+
+
 def read_records(stream, log: Salvage) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each sound record of a plain or gzip archive; gaps go to ``log``."""
+    """(offset, headers, block) of each sound record of a plain or gzip archive; gaps go to ``log``.
+
+    Records of one member have the member's offset; a gap inside a member is logged with the whole member's range.
+    An empty member holds no record and is no gap.
+    """
     window = _Window(stream)
     while window.fill(1):
+        content = None
         try:
             if window.data[:3] == GZIP or not window.fill(3):
-                raw, used = _inflate(window)
-                headers, block, inner = _parse(raw)
-                if inner != len(raw):
-                    raise ValueError("more than one record in a member")
+                content, used = _content(window)
             else:
-                headers, block, used = _plain_record(window)
+                headers, block, used = _record(window)
         except ValueError as error:
             used = _next_start(window, 1)
             log.gaps.append((window.base, used, str(error)))
         else:
-            yield window.base, headers, block
+            if content is None:
+                yield window.base, headers, block
+            else:
+                yield from _inside(content, window.base, used, log)
         window.skip(used)
 
 
@@ -237,7 +317,7 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
 
     def rows(file: str, files, root: str) -> Iterator[tuple]:
         log, told = Salvage(), 0
-        with files.open_input_stream(f"{root}/{file}", compression=None) as stream:
+        with files.open_input_file(f"{root}/{file}") as stream:
             for offset, h, block in read_records(stream, log):
                 payload = block[block.find(b"\r\n\r\n") + 4 :]
                 page, url, kind = number(h.get("x-page-id")), h.get("warc-target-uri"), h.get("warc-type")
