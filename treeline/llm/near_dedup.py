@@ -14,7 +14,8 @@
    held against each other one (in one of at most ``SMALL`` members each), and verified links are joined to components.
 4. A larger bucket that still holds several components is split without loss: texts with a similarity of the threshold
    share one of the rarest shingles that make up the rest of their weight (a prefix filter, Chaudhuri et al., 2006),
-   so only members that share such a shingle still have to meet.  In each of these groups the members outside its largest
+   so only members that share such a shingle still have to meet.  Groups of one family overlap, so those with the same least
+   member become one where that sends fewer rows.  In each group the members outside its largest
    component are held in blocks (an index from shingles to members) against all its members, streamed by in slices;
    nothing is emitted but links that join components.  Strangers that share a frequent passage
    are so told apart without being compared, and members that are nearly alike without a row for each pair.
@@ -300,23 +301,47 @@ def _first_meetings(members: DataFrame) -> DataFrame:
     return led.unionByName(pairs).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
+def _cut(members: DataFrame) -> DataFrame:
+    """``members`` with the ``largest`` component of their bucket and the ``blocks`` and ``slices`` that it is dealt into."""
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.sum("size").alias("n"))
+    sized = members.join(largest, "bucket")
+    outside = F.sum(F.when(F.col("root") != F.col("largest"), F.col("bytes")))
+    return sized.join(sized.groupBy("bucket").agg(F.ceil(outside / BLOCK_BYTES).alias("blocks"), F.ceil(F.max("n") / SLICE_ROWS).alias("slices")), "bucket")
+
+
+def _placed(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(bucket, merged, doc, root, largest, blocks, slices)``: the groups with several components, overlapping ones as one.
+
+    The groups of a family of texts have nearly the same members.  All groups with the same least member become one,
+    unless its blocks would send more rows than theirs; members of a group so still meet.
+    """
+    several = _several(groups).select("bucket", "doc", "root").join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
+    apart = several.join(several.groupBy("bucket").agg(F.min("doc").alias("least")), "bucket")
+    apart = staged(apart, "groups")
+    merged = apart.select(F.col("least").alias("bucket"), "doc", "root", "bytes", "least").distinct()
+    apart, merged = staged(_cut(apart), "groups"), staged(_cut(merged), "groups")
+    sent = F.sum(F.col("blocks") + F.when(F.col("root") != F.col("largest"), F.col("slices")).otherwise(0))
+    costs = apart.groupBy("least").agg(sent.alias("apart")).join(merged.groupBy("least").agg(sent.alias("merged")), "least")
+    cheaper = staged(costs.where("merged <= apart").select("least"), "merged")
+    kept = merged.join(cheaper, "least", "left_semi").withColumn("merged", F.lit(True))
+    return kept.unionByName(apart.join(cheaper, "least", "left_anti").withColumn("merged", F.lit(False)))
+
+
 def settled(groups: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFrame:
     """Links ``(a, b)`` that join the components of each group of ``(bucket, doc, root)``, exactly.
 
     A group's members outside its largest component are dealt into blocks of about ``BLOCK_BYTES`` of text, all its
     members into slices of about ``SLICE_ROWS``; a task holds a block and compares it with a slice as it streams by.
     """
-    several = staged(_several(groups), "groups")
-    largest = several.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("largest"))
-    sized = several.join(largest, "bucket").join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
-    cut = sized.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("root") != F.col("largest"), F.col("bytes"))) / BLOCK_BYTES).alias("blocks"), F.ceil(F.max("n") / SLICE_ROWS).alias("slices"))
-    placed = sized.join(cut, "bucket")
+    placed = _placed(groups, texts)
     dealt = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).alias(k[:-1])
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(k[:-1])
-    held = placed.where("root <> largest").select("bucket", dealt("blocks"), each("slices"), F.lit(0).alias("side"), "doc", "root")
-    passing = placed.select("bucket", each("blocks"), dealt("slices"), F.lit(1).alias("side"), "doc", "root")
-    rows = held.unionByName(passing).join(texts, "doc").select("bucket", "block", "slice", "side", "doc", "root", "text")
-    rows = rows.repartition("bucket", "block", "slice").sortWithinPartitions("bucket", "block", "slice", "side", "doc")
+    held = placed.where("root <> largest").select("merged", "bucket", dealt("blocks"), each("slices"), F.lit(0).alias("side"), "doc", "root")
+    passing = placed.select("merged", "bucket", each("blocks"), dealt("slices"), F.lit(1).alias("side"), "doc", "root")
+    at = ["merged", "bucket", "block", "slice"]
+    rows = held.unionByName(passing).join(texts, "doc").select(*at, "side", "doc", "root", "text")
+    rows = rows.repartition(*at).sortWithinPartitions(*at, "side", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block = None, Block()
@@ -325,9 +350,9 @@ def settled(groups: DataFrame, texts: DataFrame, sketch, threshold: float) -> Da
                 s, n, cuts = counted(*shingle_hashes(*word_hashes(text)))
                 w = weights(s, n, sketch.value)
                 links = []
-                for i, (bucket, number, piece, side, doc, root) in enumerate(zip(*(part.column(c).to_pylist() for c in ("bucket", "block", "slice", "side", "doc", "root")), strict=True)):
-                    if (bucket, number, piece) != now:
-                        now, block = (bucket, number, piece), Block()
+                for i, (*place, side, doc, root) in enumerate(zip(*(part.column(c).to_pylist() for c in (*at, "side", "doc", "root")), strict=True)):
+                    if place != now:
+                        now, block = place, Block()
                     own = s[cuts[i] : cuts[i + 1]], w[cuts[i] : cuts[i + 1]]
                     if side == 0:
                         block.hold(doc, root, *own)
