@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.llm import components, decontaminate, lbl, line_dedup, near_dedup, quality
+from treeline.llm import components, decontaminate, lbl, line_dedup, near_dedup, quality, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 VOCABULARY = [f"{a}{b}" for a in "bcdfghkl" for b in ("an", "ore", "ium", "est", "ing", "é")]
@@ -171,7 +171,11 @@ def test_near_duplicate_classes(spark):
     assert near_dedup.near_duplicate_classes(docs.limit(0)).count() == 0
 
 
-def test_large_bucket_led_by_strangers(spark, monkeypatch):
+@pytest.mark.parametrize("block, piece, hot", [(2 << 20, 4096, 1024), (20_000, 300, 4)])
+def test_large_bucket_led_by_strangers(spark, monkeypatch, block, piece, hot):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", block)
+    monkeypatch.setattr(near_dedup, "SLICE_ROWS", piece)
+    monkeypatch.setattr(shared, "HOT", hot)
     texts, want = {k: prose(60, 9000 + k) for k in range(25)}, {k: k for k in range(25)}  # strangers have the least ids
     for g, n in enumerate([1000, *[2] * 20]):
         least = len(texts)
@@ -219,6 +223,32 @@ def test_strangers_of_one_bucket_are_not_compared(spark, monkeypatch):
     assert sum(compared) < 1000  # of 45,150 pairs
 
 
+def test_overlapping_groups_become_one_where_that_sends_less(spark, monkeypatch):
+    groups = {10: [*range(10)], 11: [0, *range(5, 15)], 12: [3, 4], 13: [20, 21]}
+    rows = spark.createDataFrame([(b, d, min(d, 20)) for b, docs in groups.items() for d in docs], "bucket long, doc long, root long")
+    texts = spark.createDataFrame([(d, "word") for d in range(30)], "doc long, text string")
+    whole, apart = ({(r.bucket, r.merged): {x.doc for x in got if x.bucket == r.bucket} for r in got} for got in map(_placed_at(monkeypatch, rows, texts), (1 << 20, 1)))
+    assert whole == {(0, True): set(range(15)), (3, True): {3, 4}}  # 20 and 21 are one component already
+    assert apart == {(10, False): set(groups[10]), (11, False): set(groups[11]), (3, True): {3, 4}}
+
+
+def _placed_at(monkeypatch, rows, texts):
+    def placed(size):
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", size)
+        return near_dedup._placed(rows, texts).collect()
+
+    return placed
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_hot_keys_join_like_others(spark, n):
+    rows = spark.range(n).selectExpr("id as v", "if(id % 3 = 0, -1, id % 1500) as k")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least")).where("k <> 7")
+    key = ["k", "v", "n", "least"]
+    got = shared.beside(rows, facts, "k").select(key).collect()
+    assert sorted(got) == sorted(rows.join(facts, "k").select(key).collect()) and len(got) >= n // 3
+
+
 def test_ids_that_are_no_numbers(spark):
     docs = spark.createDataFrame([("7", "same words"), ("x", "same words"), (None, "same words"), ("9", "same words")], "doc_id string, text string")
     assert sorted((str(r.doc_id), r.class_id) for r in near_dedup.near_duplicate_classes(docs).collect()) == [("7", 7), ("9", 7), ("None", None), ("x", None)]

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import staged
+from treeline.llm.shared import beside, staged
 
 
 def _star(links: DataFrame, small: bool) -> DataFrame:
     """Links each node's neighbours (larger ones, or for ``small`` the smaller) to its least neighbour."""
     sides = links if small else links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = sides.join(least, "u")
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    joined = beside(sides, least, "u")
     if small:
         moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     else:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.components import components
-from treeline.llm.shared import mix, ragged, slices, staged
+from treeline.llm.shared import beside, mix, ragged, slices, staged
 from treeline.llm.words import shingle_hashes, word_hashes
 
 BANDS, ROWS = 16, 5
@@ -268,13 +268,13 @@ def split(docs: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFr
                 doc = np.repeat(part.column("doc").to_numpy(zero_copy_only=False), np.diff(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(s[at].view(np.int64)), pa.array(doc[at])], names=["bucket", "doc"])
 
-    return _shared(texts.join(docs, "doc", "left_semi").mapInArrow(run, "bucket long, doc long"))
+    return _shared(staged(texts.join(docs, "doc", "left_semi").mapInArrow(run, "bucket long, doc long"), "rarest"))
 
 
 def _shared(members: DataFrame) -> DataFrame:
     """The rows of ``(bucket, doc)`` whose bucket has others."""
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return members.join(shared, "bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return beside(members, shared, "bucket").drop("n")
 
 
 def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -285,16 +285,17 @@ def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _several(members: DataFrame) -> DataFrame:
-    """``(bucket, doc, root, size, n)`` of the buckets that hold several components; ``size``: of the component, ``n``: of the bucket."""
+    """``(bucket, doc, root, n)`` of the buckets that hold several components; ``n``: members of the bucket."""
+    members = staged(members, "members")
     parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     several = parts.groupBy("bucket").agg(F.sum("size").alias("n"), F.count("*").alias("k")).where("k > 1").select("bucket", "n")
-    return members.join(several, "bucket").join(parts, ["bucket", "root"])
+    return beside(members, several, "bucket")
 
 
 def _first_meetings(members: DataFrame) -> DataFrame:
     """``(a, b, n)``: the least member of each bucket with all others; in a bucket of at most ``SMALL`` all with all."""
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
-    placed = members.join(sized, "bucket")
+    placed = beside(members, sized, "bucket")
     led = placed.where(f"n > {SMALL} and doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), "n")
     small = placed.where(f"n <= {SMALL}").select("bucket", F.col("doc").alias("b"), "n")
     pairs = small.select("bucket", F.col("b").alias("a")).join(small, "bucket").where("a < b").select("a", "b", "n")
@@ -303,11 +304,11 @@ def _first_meetings(members: DataFrame) -> DataFrame:
 
 def _cut(members: DataFrame) -> DataFrame:
     """``members`` with the ``largest`` component of their bucket and the ``blocks`` and ``slices`` that it is dealt into."""
-    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.sum("size").alias("n"))
-    sized = members.join(largest, "bucket")
-    outside = F.sum(F.when(F.col("root") != F.col("largest"), F.col("bytes")))
-    return sized.join(sized.groupBy("bucket").agg(F.ceil(outside / BLOCK_BYTES).alias("blocks"), F.ceil(F.max("n") / SLICE_ROWS).alias("slices")), "bucket")
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    facts = parts.groupBy("bucket").agg(F.max(F.struct("size", "root", "bytes")).alias("top"), F.sum("bytes").alias("bytes"), F.sum("size").alias("n"))
+    blocks = F.ceil((F.col("bytes") - F.col("top.bytes")) / BLOCK_BYTES).alias("blocks")
+    facts = facts.select("bucket", "n", F.col("top.root").alias("largest"), blocks, F.ceil(F.col("n") / SLICE_ROWS).alias("slices"))
+    return beside(members, facts, "bucket").drop("n")
 
 
 def _placed(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -317,7 +318,8 @@ def _placed(groups: DataFrame, texts: DataFrame) -> DataFrame:
     unless its blocks would send more rows than theirs; members of a group so still meet.
     """
     several = _several(groups).select("bucket", "doc", "root").join(texts.select("doc", F.octet_length("text").alias("bytes")), "doc")
-    apart = several.join(several.groupBy("bucket").agg(F.min("doc").alias("least")), "bucket")
+    several = staged(several, "groups")
+    apart = beside(several, several.groupBy("bucket").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "bucket").drop("n")
     apart = staged(apart, "groups")
     merged = apart.select(F.col("least").alias("bucket"), "doc", "root", "bytes", "least").distinct()
     apart, merged = staged(_cut(apart), "groups"), staged(_cut(merged), "groups")
@@ -428,12 +430,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
         more = staged(settled(_rooted(groups, roots), texts, sketch, threshold), "links")
         if not more.isEmpty():
             roots = staged(components(links.unionByName(more)), "roots")
-    of_rep = alike.select("copy", "rep")
+    of_rep = alike.select("copy", "rep", "n")
     if roots is not None:
-        of_rep = of_rep.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("class_id"))
+        of_rep = of_rep.join(roots, F.col("rep") == F.col("node"), "left").select("copy", F.coalesce("root", "rep").alias("class_id"), "n")
     else:
         of_rep = of_rep.withColumnRenamed("rep", "class_id")
-    classes = signed.where("size(bands) > 0").select("doc", "copy").join(of_rep, "copy").groupBy("doc").agg(F.min("class_id").alias("class_id"))
+    classes = beside(signed.where("size(bands) > 0").select("doc", "copy"), of_rep, "copy").groupBy("doc").agg(F.min("class_id").alias("class_id"))
     out = docs.select(F.col(id_column).alias("id"), F.col(id_column).try_cast("long").alias("doc")).join(classes, "doc", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("class_id", "doc").alias("class_id"))
 

@@ -8,9 +8,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into numpy arrays at a time.
 SLICE_BYTES = 2 << 20
+#: A key of a join is hot with more than one in so many of all rows.
+HOT = 1024
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -36,6 +39,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with the row of ``facts`` for their ``key``; ``facts`` has each key once and counts its rows in ``n``.
+
+    Keys of more than one in ``HOT`` of the rows counted, which are fewer than ``HOT``, are broadcast: their rows stay
+    where they are, and no task of the shuffled rest gets more rows of one key than that.
+    """
+    facts = staged(facts, "facts")
+    most = (facts.agg(F.sum("n")).first()[0] or 0) / HOT
+    hot = facts.where(F.col("n") > most)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("n") <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm
