@@ -178,23 +178,13 @@ def signatures(docs: DataFrame, sketch) -> DataFrame:
 def thinned(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc`` may be in ``wanted``: all that are, and few others.
 
-    A bitmap of fixed size is broadcast; with very many wanted ids it only passes more rows on.
+    A bitmap of fixed size is broadcast as a table of words; with very many wanted ids it only passes more rows on.
     """
-    at = F.pmod("doc", F.lit(PLACES))
-    words = wanted.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(doc, {PLACES}) & 63 as int)))").alias("bits"))
-    bitmap = np.zeros(PLACES // 64 + 1, np.int64)
-    for row in words.collect():  # at most one row for each word of the bitmap
-        bitmap[row.word] = row.bits
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc")
-            place = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), PLACES)
-            hit = (held.value[place >> 6] >> (place & 63)) & 1 > 0
-            yield batch.filter(pa.array(hit & ids.is_valid().to_numpy(zero_copy_only=False)))
-
-    return docs.mapInArrow(run, docs.schema)
+    place = F.pmod("doc", F.lit(PLACES))
+    word, bit = F.shiftright(place, 6).alias("word"), (place.bitwiseAND(F.lit(63))).cast("int")
+    words = wanted.select(word, bit.alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    placed = docs.select(*docs.columns, word, bit.alias("bit")).join(F.broadcast(words), "word")  # at most PLACES / 64 rows
+    return placed.where(F.getbit("bits", F.col("bit")) == 1).select(*docs.columns)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sketch, threshold: float) -> DataFrame:
@@ -419,7 +409,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col
     band = alike.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), F.col("rep").alias("doc"))
     members = staged(_shared(band), "buckets")
     wanted = members.select("doc").distinct()
-    texts = thinned(plain, wanted).join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    # Inner, as Spark would move a semi join below the bitmap and so shuffle all texts.
+    texts = thinned(plain, wanted).join(wanted, "doc").groupBy("doc").agg(F.min("text").alias("text"))
     texts = staged(texts, "candidate-texts")
     pairs = staged(_first_meetings(members), "pairs")
     links = staged(verified(pairs, texts, sketch, threshold).select("a", "b"), "links")
