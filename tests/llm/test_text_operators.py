@@ -122,6 +122,36 @@ def test_quality_of_empty_tables(spark, judged):
     assert {r.score for r in quality.judge_quality(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_every_trusted_row_counts(spark, judged):
+    docs, _, _ = judged
+    many = spark.range(150_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    held = docs.where("doc_id is not null").select("doc_id").distinct().selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert quality.fitted(docs, many) == quality.fitted(docs, held)
+
+
+def test_trusted_ids_beyond_the_bitmap(spark, judged, monkeypatch):
+    docs, labels, _ = judged
+    want = quality.fitted(docs, labels)
+    monkeypatch.setattr(quality, "MAX_WORDS", 0)
+    assert quality.fitted(docs, labels) == want
+    named, by_name = (t.withColumn("doc_id", F.col("doc_id").cast("string")) for t in (docs, labels))
+    assert sum(r.trusted for r in quality.marker(by_name)(named).collect()) == 20
+    low = spark.createDataFrame([(-(1 << 63),), (-65,), (-1,), (0,), (63,), ((1 << 63) - 1,)], "doc_id long")
+    monkeypatch.undo()
+    marked = quality.marker(low.where("doc_id <> -1").selectExpr("doc_id", "1 as quality", "0 as toxic"))(low.unionByName(spark.range(1, 5).toDF("doc_id")))
+    assert {r.doc_id for r in marked.where("trusted").collect()} == {-(1 << 63), -65, 0, 63, (1 << 63) - 1}
+
+
+@pytest.mark.parametrize("bins", [2, 3, 4096])
+def test_percentile_is_exact(spark, monkeypatch, bins):
+    monkeypatch.setattr(quality, "BINS", bins)
+    values = [0.1 * (i * i % 37) - 1 for i in range(200)] + [-1e6] * 3 + [0.3] * 90 + [None]
+    df = spark.createDataFrame([(x,) for x in values], "score double")
+    for share in (0.0, 0.010000000000000009, 0.013, 0.5, 0.77, 1.0):
+        assert quality.percentile(df, "score", share) == df.agg(F.percentile("score", F.lit(share))).first()[0]
+    assert quality.percentile(df.limit(0), "score", 0.5) is None
+
+
 def test_trusted_bound(spark):
     labels = spark.range(1000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     assert quality.trusted_ids(labels, 2000).count() == 1000
