@@ -124,6 +124,31 @@ def test_bloom_bits_wrap(spark):
     assert spark.range(1).select(hashing.bloom_bits(F.lit(given), 958506).alias("b")).first().b == want
 
 
+def test_bloom_bits_of_any_size(spark):
+    hashes = [random.Random(i).randbytes(32).hex() for i in range(50)]
+    for m in (63, 958506, 2**32 + 15, 2**47):
+        for given, bits in zip(hashes, one(spark, lambda h, m=m: hashing.bloom_bits(h, m), *hashes), strict=True):
+            h1, h2 = (int.from_bytes(bytes.fromhex(given)[k : k + 8], "little") for k in (0, 8))
+            assert bits == [(h1 + i * h2) % 2**64 % m for i in range(7)]
+
+
+def test_bloom_filter_in_place(spark):
+    hashes = [random.Random(i).randbytes(32).hex() for i in range(400)]
+    size = {"n": 100, "p": 0.3}  # small: many hashes that were not inserted pass
+    m = hashing.optimal_bits(**size)
+    places = {h: {(int.from_bytes(bytes.fromhex(h)[:8], "little") + i * int.from_bytes(bytes.fromhex(h)[8:16], "little")) % 2**64 % m for i in range(7)} for h in hashes}
+    held = set().union(*(places[h] for h in hashes[:30]))
+    wanted = spark.createDataFrame([(h,) for h in [*hashes, None]], "hash string")
+    bits = index.bloom_table(spark.createDataFrame([(h,) for h in [*hashes[:30], hashes[0]]], "hash string"), **size)
+    assert sorted(r.bit for r in bits.collect()) == sorted(held)
+    found = index.may_contain(wanted, bits, **size)
+    want = sorted(h for h in hashes if places[h] <= held)
+    assert 30 < len(want) < 400 and sorted(r.hash for r in found.collect()) == want
+    assert not index.may_contain(wanted, bits.limit(0), **size).count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(hash" not in plan and "hashpartitioning(bit" not in plan  # no row for each bit is shuffled
+
+
 SNAP = "path string, kind string, hash string, size long, mode string, mtime_secs long, target string"
 
 

@@ -94,15 +94,29 @@ def optimal_bits(n: int, p: float) -> int:
 
 
 def _little_endian(hex_hash: Column, first_byte: int) -> Column:
-    pairs = [F.substring(hex_hash, 2 * (first_byte + i) + 1, 2) for i in reversed(range(8))]
-    return F.conv(F.concat(*pairs), 16, 10).cast("decimal(38,0)")
+    """Four bytes of a hash as an integer."""
+    pairs = [F.substring(hex_hash, 2 * (first_byte + i) + 1, 2) for i in reversed(range(4))]
+    return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
 
 
 def bloom_bits(hex_hash: Column, m: int, k: int = 7) -> Column:
-    """Bit positions ``(h1 + i * h2 mod 2**64) mod m``; h1 and h2 are the first two little-endian words."""
-    h1, h2 = _little_endian(hex_hash, 0), _little_endian(hex_hash, 8)
-    wrap, size = F.lit(str(2**64)).cast("decimal(20,0)"), F.lit(m).cast("decimal(20,0)")
-    return F.array(*[(((h1 + h2 * F.lit(i)) % wrap) % size).cast("bigint") for i in range(k)])
+    """Bit positions ``(h1 + i * h2 mod 2**64) mod m``; h1 and h2 are the first two little-endian words.
+
+    Words are added in halves and divided by 16 bits at a time, so nothing leaves a long (``m`` up to 2**47).
+    """
+    low1, high1, low2, high2 = (_little_endian(hex_hash, first) for first in (0, 4, 8, 12))
+    size, half, short = F.lit(m).cast("bigint"), F.lit(2**32 - 1), F.lit(2**16 - 1)
+
+    def position(i: int) -> Column:
+        low = low1 + low2 * i
+        high = (high1 + high2 * i + F.shiftright(low, 32)).bitwiseAND(half)
+        low = low.bitwiseAND(half)
+        left = high % size
+        for part in (F.shiftright(low, 16), low.bitwiseAND(short)):
+            left = (left * 2**16 + part) % size
+        return left
+
+    return F.array(*[position(i) for i in range(k)])
 
 
 def object_key(hex_hash: Column, prefix: str = "objects") -> Column:

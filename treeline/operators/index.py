@@ -6,6 +6,7 @@ Entries have ``hash, kind, length`` and, where needed, ``generation, pack, offse
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,9 +110,18 @@ def resolve(entries: DataFrame, packs: DataFrame) -> DataFrame:
     return joined.select("hash", F.when(F.col("kind") == "inline", F.col("data")).when(F.col("kind") == "pack", part).alias("bytes"))
 
 
+def _bloom_words(bits: DataFrame) -> DataFrame:
+    """``word, bits``: the column ``bit`` as words of 64 bits; a task sends no more rows than the filter has words."""
+    word, at = F.shiftright("bit", 6).alias("word"), F.col("bit").bitwiseAND(F.lit(63)).cast("int").alias("at")
+    return bits.where("bit is not null").select(word, at).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
+
+
 def bloom_table(entries: DataFrame, n: int = 100_000, p: float = 0.01, k: int = 7) -> DataFrame:
-    """The set bits of a Bloom filter over the entries' hashes, as an exact table."""
-    return entries.select(F.explode(bloom_bits(F.col("hash"), optimal_bits(n, p), k)).alias("bit")).distinct()
+    """The set bits of a Bloom filter over the entries' hashes, as an exact table; repeated hashes do no harm."""
+    asked = entries.select(bloom_bits(F.col("hash"), optimal_bits(n, p), k).alias("_bits"))  # apart, so that parts are computed once
+    words = _bloom_words(asked.select(F.explode("_bits").alias("bit")))
+    places = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint")), lambda i: F.getbit("bits", i.cast("int")) == 1)
+    return words.select("word", F.explode(places).alias("at")).select((F.col("word") * 64 + F.col("at")).alias("bit"))
 
 
 def bloom_fill(bits: DataFrame, m: int) -> DataFrame:
@@ -119,10 +129,17 @@ def bloom_fill(bits: DataFrame, m: int) -> DataFrame:
 
 
 def may_contain(wanted: DataFrame, bits: DataFrame, n: int = 100_000, p: float = 0.01, k: int = 7) -> DataFrame:
-    """Hashes all of whose bits are set; every inserted hash is among them."""
-    asked = wanted.select("hash", F.explode(F.array_distinct(bloom_bits(F.col("hash"), optimal_bits(n, p), k))).alias("bit"))
-    needed = asked.join(bits.withColumn("_set", F.lit(1)), "bit", "left").groupBy("hash").agg(F.count("*").alias("n"), F.count("_set").alias("hit"))
-    return needed.where("n = hit").select("hash")
+    """The wanted hashes all of whose bits are set, row by row; every inserted hash is among them.
+
+    The filter is broadcast as one array of words and tested in place: no wanted hash is shuffled.
+    """
+    m = optimal_bits(n, p)
+    words = bits.sparkSession.range(0, (m + 63) // 64, 1, 1).withColumnRenamed("id", "word").join(_bloom_words(bits), "word", "left")
+    whole = words.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("words")).select(F.col("words.bits").alias("_words"))
+    asked = wanted.select("hash", bloom_bits(F.col("hash"), m, k).alias("_bits")).join(F.broadcast(whole))  # one row of m bits
+    bit = [F.get("_bits", F.lit(i)) for i in range(k)]
+    held = [F.getbit(F.get("_words", F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1 for b in bit]
+    return asked.where(reduce(Column.__and__, held)).select("hash")
 
 
 def hash_by_prefix(entries: DataFrame, prefix: str) -> DataFrame:

@@ -140,8 +140,8 @@ def bloom_fill(spark, sf):
     f"WITH {_BLOOM}, inserted AS (SELECT DISTINCT bit FROM bits WHERE substr(hash, 1, 1) < '8') SELECT hash FROM bits LEFT JOIN inserted i ON bits.bit = i.bit GROUP BY hash HAVING count(*) = count(i.bit)",
 )
 def may_contain(spark, sf):
-    hashes = T.index_entries(spark, sf).select("hash").distinct()
-    return index.may_contain(hashes, index.bloom_table(hashes.where("substring(hash, 1, 1) < '8'")))
+    inserted = T.index_entries(spark, sf).select("hash").where("substring(hash, 1, 1) < '8'")
+    return index.may_contain(T.index_hashes(spark, sf), index.bloom_table(inserted))
 
 
 @query("wn07_running_offsets", f"WITH {S.LATEST} SELECT hash, pack, CAST(coalesce(sum(length) OVER (PARTITION BY pack ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM latest")

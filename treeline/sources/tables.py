@@ -81,6 +81,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct ``hash`` of the index entries; equal keys meet before they become hashes, which are much longer."""
+    keys = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key")).distinct()
+    return keys.select(sha(F.encode("key", "UTF-8")).alias("hash"))
+
+
 def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``hash, generation, kind, length, pack, seq``: one entry for each line item, hashes repeating across generations."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
