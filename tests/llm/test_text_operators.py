@@ -305,6 +305,15 @@ def test_samples_agree_with_the_similarity():
     assert abs(got - want) < 0.03
 
 
+@pytest.mark.parametrize(("n", "joins"), [([1] * 3000, 1), ([1, 1, 1], 1), ([5000] + [1] * 200, 3), ([], 1)])
+def test_beside_has_one_join_unless_some_keys_are_hot(spark, n, joins):
+    facts = spark.createDataFrame([(k, x) for k, x in enumerate(n)], "k long, n long")
+    rows = spark.range(4000).select((F.col("id") % 3500).alias("k"), F.col("id").alias("at"))
+    found = shared.beside(rows, facts, "k")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == joins
+    assert sorted((r.k, r["at"], r.n) for r in found.collect()) == sorted((i % 3500, i, n[i % 3500]) for i in range(4000) if i % 3500 < len(n))
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]

@@ -1,8 +1,8 @@
 """Connected components of a link table, without gathering links anywhere.
 
 Alternating large-star and small-star steps (Kiveris et al., 2014).  Every step
-is two shuffles of the remaining links, written to the shared folder; the number of
-steps grows with the logarithm of the longest path.
+is two shuffles of the remaining links, each written to the shared folder, so that plans
+stay short; the number of steps grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     links = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     shape = None
     while True:
-        links = staged(_star(_star(links, small=False), small=True), "links")
+        links = staged(_star(links, small=False), "links")
+        links = staged(_star(links, small=True), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == shape:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -285,7 +285,7 @@ def _several(members: DataFrame) -> DataFrame:
 def _first_meetings(members: DataFrame) -> DataFrame:
     """``(a, b, n)``: the least member of each bucket with all others; in a bucket of at most ``SMALL`` all with all."""
     sized = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("least"))
-    placed = beside(members, sized, "bucket")
+    placed = staged(beside(members, sized, "bucket"), "placed")  # read three times
     led = placed.where(f"n > {SMALL} and doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b"), "n")
     small = placed.where(f"n <= {SMALL}").select("bucket", F.col("doc").alias("b"), "n")
     pairs = small.select("bucket", F.col("b").alias("a")).join(small, "bucket").where("a < b").select("a", "b", "n")
@@ -326,7 +326,7 @@ def settled(groups: DataFrame, texts: DataFrame, sketch, threshold: float) -> Da
     A group's members outside its largest component are dealt into blocks of about ``BLOCK_BYTES`` of text, all its
     members into slices of about ``SLICE_ROWS``; a task holds a block and compares it with a slice as it streams by.
     """
-    placed = _placed(groups, texts)
+    placed = staged(_placed(groups, texts), "placed")  # read twice
     dealt = lambda k: F.pmod(F.xxhash64("doc"), F.col(k)).alias(k[:-1])
     each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1)).alias(k[:-1])
     held = placed.where("root <> largest").select("merged", "bucket", dealt("blocks"), each("slices"), F.lit(0).alias("side"), "doc", "root")

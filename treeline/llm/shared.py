@@ -43,10 +43,16 @@ def beside(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with the row of ``facts`` for their ``key``; ``facts`` has each key once and counts its rows in ``n``.
 
     Keys of more than one in ``HOT`` of the rows counted, which are fewer than ``HOT``, are broadcast: their rows stay
-    where they are, and no task of the shuffled rest gets more rows of one key than that.
+    where they are, and no task of the shuffled rest gets more rows of one key than that.  If all keys are hot, or none
+    is, there is one join: plans of many joins take the driver's memory.
     """
     facts = staged(facts, "facts")
-    most = (facts.agg(F.sum("n")).first()[0] or 0) / HOT
+    total, low, high = facts.agg(F.sum("n"), F.min("n"), F.max("n")).first()
+    most = (total or 0) / HOT
+    if total is None or high <= most:
+        return rows.join(facts, key)
+    if low > most:
+        return rows.join(F.broadcast(facts), key)
     hot = facts.where(F.col("n") > most)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("n") <= most), key)
     return rows.join(F.broadcast(hot), key).unionByName(rest)
